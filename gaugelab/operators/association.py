@@ -125,8 +125,8 @@ def neighbour_mutual_information(
         F.inline(
             F.array(
                 F.struct(F.col("upper").alias("value"), F.lit(0).alias("kind")),
-                F.struct(F.col("value"), F.lit(1)),
-                F.struct(F.col("lower"), F.lit(2)),
+                F.struct(F.col("value"), F.lit(1).alias("kind")),
+                F.struct(F.col("lower").alias("value"), F.lit(2).alias("kind")),
             )
         ),
     )
@@ -166,7 +166,7 @@ def _scaled_with_jitter(df: DataFrame, target: str, features: Sequence[str], id_
 def _points_before_bucket(points: DataFrame, edges: Sequence[float]) -> DataFrame:
     """Points in earlier buckets, for every bucket of every feature (a table of edges x features)."""
     counts = with_bucket(points, "value", edges).groupBy("feature", BUCKET).agg(F.count(F.lit(1)).alias("n"))
-    grid = counts.select("feature").distinct().withColumn(BUCKET, F.explode(F.sequence(F.lit(0), F.lit(len(edges)))).cast("double"))
+    grid = counts.select("feature").distinct().withColumn(BUCKET, F.explode(F.sequence(F.lit(0), F.lit(len(edges)))))
     earlier = W.partitionBy("feature").orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
     return grid.join(counts, ["feature", BUCKET], "left").select("feature", BUCKET, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
 

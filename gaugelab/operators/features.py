@@ -58,10 +58,17 @@ def _sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _sql_number(value: float) -> str:
+def sql_number(value: float) -> str:
     return f"CAST({value!r} AS DOUBLE)"
 
 
+def vector_stages(expressions: Sequence[str]) -> list:
+    """Stages that compute expressions in one projection and assemble them."""
+    names = [f"_f{i}" for i in range(len(expressions))]
+    listed = ", ".join(f"{e} AS {n}" for e, n in zip(expressions, names))
+    return [SQLTransformer(statement=f"SELECT *, {listed} FROM __THIS__"), VectorAssembler(inputCols=names, outputCol="features")]
+
+
 @dataclass
 class Preparation:
     """Learnt preparation: medians, means and scales of numeric columns, levels of categories."""
@@ -89,8 +96,8 @@ class Preparation:
         made = []
         for c in self.numeric:
             raw = f"CAST(`{c}` AS DOUBLE)"
-            filled = f"(CASE WHEN `{c}` IS NULL OR isnan({raw}) THEN {_sql_number(self.medians[c])} ELSE {raw} END)"
-            made.append(f"(({filled} - {_sql_number(self.means[c])}) / {_sql_number(self.scales[c])})" if self.scale else filled)
+            filled = f"(CASE WHEN `{c}` IS NULL OR isnan({raw}) THEN {sql_number(self.medians[c])} ELSE {raw} END)"
+            made.append(f"(({filled} - {sql_number(self.means[c])}) / {sql_number(self.scales[c])})" if self.scale else filled)
         for c in self.categorical:
             filled = f"coalesce(CAST(`{c}` AS STRING), {_sql_text(self.modes[c])})" if self.modes[c] is not None else f"CAST(`{c}` AS STRING)"
             made += [f"(CASE WHEN {filled} = {_sql_text(v)} THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END)" for v in self.levels[c]]
@@ -103,11 +110,13 @@ class Preparation:
         """The input plus one column per output; unseen levels give all zeros."""
         return df.select("*", *self.columns())
 
-    def stages(self) -> list:
+    def named_expressions(self, keep: Sequence[str] | None = None) -> dict[str, str]:
+        """Output name -> SQL expression, for all outputs or those in ``keep``."""
+        return {n: e for n, e in zip(self.outputs, self.expressions()) if keep is None or n in keep}
+
+    def stages(self, keep: Sequence[str] | None = None) -> list:
         """Spark ML stages that add the vector column ``features``."""
-        names = [f"f{i}" for i in range(len(self.outputs))]
-        listed = ", ".join(f"{e} AS {n}" for e, n in zip(self.expressions(), names))
-        return [SQLTransformer(statement=f"SELECT *, {listed} FROM __THIS__"), VectorAssembler(inputCols=names, outputCol="features")]
+        return vector_stages(list(self.named_expressions(keep).values()))
 
     def to_json(self) -> str:
         return json.dumps(asdict(self))

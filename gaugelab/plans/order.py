@@ -39,17 +39,18 @@ def range_edges(df: DataFrame, value: str, buckets: int | None = None) -> list[f
 def with_bucket(df: DataFrame, value: str, edges: Sequence[float]) -> DataFrame:
     """Number of edges <= value, by binary search on the JVM."""
     if not edges:
-        return df.withColumn(BUCKET, F.lit(0.0))
+        return df.withColumn(BUCKET, F.lit(0))
     splits = [float("-inf"), *edges, float("inf")]
     staged = df.withColumn("_bucket_input", F.col(value).cast("double"))
-    cut = Bucketizer(splits=splits, inputCol="_bucket_input", outputCol=BUCKET)
-    return cut.transform(staged).drop("_bucket_input")
+    cut = Bucketizer(splits=splits, inputCol="_bucket_input", outputCol="_bucket_found")
+    # As an integer: shuffles by a double key normalise it first and cannot be shared.
+    return cut.transform(staged).withColumn(BUCKET, F.col("_bucket_found").cast("int")).drop("_bucket_input", "_bucket_found")
 
 
 def with_unit_bucket(df: DataFrame, value: str, buckets: int | None = None) -> DataFrame:
     """Buckets for a hashed uniform: already evenly spread, so no sketch is needed."""
     n = buckets or bucket_count(df)
-    return df.withColumn(BUCKET, F.floor(F.col(value) * float(n)).cast("double"))
+    return df.withColumn(BUCKET, F.floor(F.col(value) * float(n)).cast("int"))
 
 
 def _offsets(bucketed: DataFrame, keys: list[str], totals: dict[str, Column], value: str | None) -> DataFrame:
@@ -155,14 +156,9 @@ def values_at_quantiles(
     staged = df.select(*keys, value, *[c.alias(name) for name, c in sums.items()])
     bucketed = with_bucket(staged, value, edges)
 
-    rank = lambda p: p * (F.col("total_rows") - 1)
     within = lambda r: (r >= F.col("_off_rows")) & (r < F.col("_off_rows") + F.col("_bucket_rows"))
-    wanted = F.array(
-        *[
-            F.struct(F.lit(float(p)).alias("p"), F.floor(rank(F.lit(float(p)))).alias("lo"), F.ceil(rank(F.lit(float(p)))).alias("hi"))
-            for p in probabilities
-        ]
-    )
+    listed = ", ".join(f"CAST({float(p)!r} AS DOUBLE)" for p in probabilities)
+    wanted = F.expr(f"transform(array({listed}), p -> named_struct('p', p, 'lo', floor(p * (total_rows - 1)), 'hi', ceil(p * (total_rows - 1))))")
     offsets = _offsets(bucketed, keys, {name: F.sum(name) for name in sums}, None)
     in_bucket = bucketed.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("_bucket_rows"))
     # Each bucket is told which ranks to look for; buckets with none are dropped.
