@@ -45,6 +45,8 @@ def _nearest(points: np.ndarray, ids: np.ndarray, labels: np.ndarray, rows: np.n
         for j in range(points.shape[1]):
             gap = block[:, j : j + 1] - points[:, j]
             d += gap * gap
+        # Distances equal to nine decimals count as equal.
+        d = np.round(d, 9)
         kth = np.partition(d, k - 1, axis=1)[:, k - 1]
         for r in range(len(block)):
             near = np.flatnonzero(d[r] <= kth[r])
@@ -131,7 +133,7 @@ def nearest_by_boxes(queries: DataFrame, reference: DataFrame, k: int, width: in
         out = []
         for p, r, mine in zip(point, radius, own):
             gap = np.maximum(np.maximum(lo - p, p - hi), 0.0)
-            out.append([names[b] for b in np.flatnonzero((gap * gap).sum(axis=1) <= r) if names[b] != mine])
+            out.append([names[b] for b in np.flatnonzero((gap * gap).sum(axis=1) <= r + 1e-8) if names[b] != mine])
         return pd.Series(out)
 
     further = found.withColumn("own", box_code(F.col("point"))).withColumn("box", F.explode(boxes_in_reach("point", radius, "own")))
