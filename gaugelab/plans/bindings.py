@@ -49,7 +49,8 @@ def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines read as sensor rows: the larger table, for profiles."""
-    return table(spark, sf_dir, "lineitem").select(
+    columns = ["l_orderkey", "l_quantity", "l_discount", "l_extendedprice", "l_tax", "l_returnflag", "l_linestatus"]
+    return spread(table(spark, sf_dir, "lineitem").select(*columns), "l_orderkey").select(
         F.col("l_quantity").alias("Temp"),
         (F.lit(100.0) * F.col("l_discount")).alias("Humidity"),
         F.col("l_extendedprice").alias("Light"),
