@@ -35,7 +35,7 @@ def _(spark, sf):
     return split.split_sizes(split.with_split(sensors(spark, sf)))
 
 
-_FOLDS = f"""{SENSORS}, folded AS (SELECT *, CAST((row_number() OVER (PARTITION BY y ORDER BY {_hash('fold')}, id) - 1) % 5 AS INT) AS fold FROM sensors)"""
+_FOLDS = f"""{SENSORS}, folded AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY y ORDER BY {_hash('fold')}, id) - 1) * 5 / count(*) OVER (PARTITION BY y)) AS INT) AS fold FROM sensors)"""
 
 
 @query("stratified_folds", f"WITH {_FOLDS} SELECT id, y, fold FROM folded")

@@ -12,7 +12,7 @@ from gaugelab.fixed_values import GROUP, LEAKAGE_FLAG, SEED, SENSORS
 from gaugelab.functions.hashing import normal
 from gaugelab.functions.scalars import digamma
 from gaugelab.operators.profile import long_values, quantile_lookup
-from gaugelab.plans.join import join_checked
+from gaugelab.plans.join import join_checked, settled
 from gaugelab.plans.order import BUCKET, range_edges, values_at_quantiles, with_bucket
 
 
@@ -40,7 +40,8 @@ def binned_features(df: DataFrame, target: str, features: Sequence[str] = SENSOR
 
 def contingency(long: DataFrame, target: str) -> DataFrame:
     """Cells with their margins: (feature, level, target, n, row_n, col_n, total)."""
-    cells = long.groupBy("feature", "level", target).agg(F.count(F.lit(1)).alias("n"))
+    # Used five times: as a literal table when small, so that the data is read once.
+    cells, _ = settled(long.groupBy("feature", "level", target).agg(F.count(F.lit(1)).alias("n")))
     by_level = cells.groupBy("feature", "level").agg(F.sum("n").alias("row_n"))
     by_class = cells.groupBy("feature", target).agg(F.sum("n").alias("col_n"))
     totals = cells.groupBy("feature").agg(F.sum("n").alias("total"))

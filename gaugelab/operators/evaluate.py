@@ -15,7 +15,7 @@ from gaugelab.models.zoo import fit_model, ordered_model_names
 from gaugelab.operators.features import fit_preparation
 from gaugelab.operators.metrics import decision_metrics, metric_suite
 from gaugelab.operators.significance import fold_summary
-from gaugelab.operators.split import with_folds, with_learning_rank
+from gaugelab.operators.split import first_rows, with_folds
 from gaugelab.storage import cut_lineage
 
 # Fits that run at the same time; each is a chain of Spark jobs.
@@ -121,10 +121,9 @@ def learning_curve(
 
         def one(task):
             f, step = task
-            others = with_learning_rank(folded.where(F.col("fold") != f).withColumn("held", F.lit(f)), ["held"]).drop("held")
-            rows = folded.where(F.col("fold") != f).count()
-            size = max(1, int((smallest + (1.0 - smallest) * step / (steps - 1)) * rows))
-            seen = others.where(F.col("learning_rank") <= size)
+            others = folded.where(F.col("fold") != f)
+            size = max(1, int((smallest + (1.0 - smallest) * step / (steps - 1)) * others.count()))
+            seen = first_rows(others, size)
             fitted = fit_model(model, seen, columns, **(settings or {}))
             marks = lambda df, part: scored_rows(fitted, df, model).withColumns({"fold": F.lit(f), "step": F.lit(step), "train_rows": F.lit(size), "part": F.lit(part)})
             return marks(seen, "train").unionByName(marks(folded.where(F.col("fold") == f), "cv"))

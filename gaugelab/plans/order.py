@@ -21,6 +21,9 @@ from gaugelab.plans.join import settled
 
 BUCKET = "_bucket"
 
+# Buckets of a hashed uniform when only a few of them will be sorted.
+UNIT_BUCKETS = 65_536
+
 
 def bucket_count(df: DataFrame) -> int:
     """Two buckets per shuffle partition, within limits the edge sketch handles well."""
@@ -133,6 +136,27 @@ def row_positions(
     )
 
 
+def values_at_ranks(df: DataFrame, keys: Sequence[str], order: str, tie: str, ranks: DataFrame, unit: bool = False) -> DataFrame:
+    """The rows at wanted ranks: (keys, slot, place), place being the struct (order, tie).
+
+    ``ranks`` holds (keys, slot, rank), ranks counted from 0 in the order (order,
+    tie). Rows are only counted per bucket; the few buckets that hold a wanted
+    rank are sorted, the rest of the table is never shuffled.
+    """
+    keys = list(keys)
+    narrow = df.select(*dict.fromkeys([*keys, order, tie]))
+    bucketed = with_unit_bucket(narrow, order, UNIT_BUCKETS) if unit else with_bucket(narrow, order, range_edges(df, order))
+    counts = bucketed.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
+    placed = counts.withColumn("_off", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    wanted = placed.join(ranks, keys).where((F.col("rank") >= F.col("_off")) & (F.col("rank") < F.col("_off") + F.col("_rows")))
+    wanted, few = settled(wanted.select(*keys, BUCKET, "slot", (F.col("rank") - F.col("_off")).alias("_local")))
+    wanted = F.broadcast(wanted) if few else wanted
+    kept = bucketed.join(wanted.select(*keys, BUCKET), [*keys, BUCKET], "left_semi")
+    numbered = kept.withColumn("_local", (F.row_number().over(W.partitionBy(*keys, BUCKET).orderBy(order, tie)) - 1).cast("long"))
+    return numbered.join(wanted, [*keys, BUCKET, "_local"]).select(*keys, "slot", F.struct(F.col(order).alias("order"), F.col(tie).alias("tie")).alias("place"))
+
+
 def values_at_quantiles(
     df: DataFrame,
     keys: Sequence[str],

@@ -79,6 +79,20 @@ def test_split_is_stratified(rows):
     assert parts.loc[parts.split == "test", "count"].sum() == -(-n // 5)
 
 
+def test_first_rows_nest(rows):
+    small = {r.id for r in split.first_rows(rows, 100).collect()}
+    large = {r.id for r in split.first_rows(rows, 300).collect()}
+    assert (len(small), len(large)) == (100, 300) and small <= large
+    assert split.first_rows(rows, 10**6).count() == rows.count()
+
+
+def test_block_folds_of_a_class_smaller_than_the_folds(spark):
+    df = spark.createDataFrame([(i, 1 if i in (3, 8, 9) else 0) for i in range(20)], "id long, y int")
+    got = split.with_block_folds(df).toPandas().sort_values("id")
+    assert list(got.loc[got.y == 1, "fold"]) == [0, 1, 3]
+    assert list(got.loc[got.y == 0, "fold"]) == [i * 5 // 17 for i in range(17)]
+
+
 def test_checked_join_falls_back(spark, rows):
     small = rows.groupBy("Fruit").agg(F.count(F.lit(1)).alias("n"))
     wide = join_checked(rows, small, ["Fruit"], limit=2).agg(F.sum("n")).first()[0]
