@@ -34,7 +34,7 @@ SMALL: dict[str, dict] = {
 
 
 def _parts(spark, sf):
-    rows = split.with_split(sensors(spark, sf)).select("id", "Fruit", *SENSOR_NAMES, "y", "split").persist()
+    rows = split.with_split(sensors(spark, sf)).select("id", "Fruit", *SENSOR_NAMES, "y", "split")
     return rows.where("split = 'train'"), rows.where("split = 'test'")
 
 

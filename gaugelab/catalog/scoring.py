@@ -354,6 +354,27 @@ def _(spark, sf):
     return compare.best_and_worst(metrics.metric_suite(predictions(spark, sf)))
 
 
+@query("worst_errors", f"WITH {_ERRORS} SELECT id, Fruit, error_type, p_bad FROM err WHERE NOT correct ORDER BY abs(p_bad - y_true) DESC, id LIMIT 30", "p_bad")
+def _(spark, sf):
+    wrong = errors.misclassified(_errors(spark, sf))
+    return compare.top_rows(wrong, 30, F.desc(F.abs(F.col("p_bad") - F.col("y_true"))), "id").select("id", "Fruit", "error_type", "p_bad")
+
+
+@query("metric_bars", f"WITH {SENSORS}, {scored()}, {_metric_sql('scored', 'model')} SELECT model, mcc AS value FROM m WHERE model IN ('S1', 'S3', 'S6')", "value")
+def _(spark, sf):
+    results = metrics.metric_suite(predictions(spark, sf))
+    shown = compare.known_models(predictions(spark, sf), ["S6", "S0", "S3", "S1"])
+    return curves.sorted_series(results.where(F.col("model").isin(shown)), "model", "mcc")
+
+
+_PAIR_CELLS = " UNION ALL ".join(f"SELECT id, \"Class\", '{a}' AS feature_x, '{b}' AS feature_y, {a} AS x, {b} AS y_value FROM pick" for a, b in combinations(SENSOR_NAMES, 2))
+
+
+@query("pair_sample", f"WITH {SENSORS}, pick AS (SELECT * FROM sensors ORDER BY {_hash('sample')}, id LIMIT 2000) {_PAIR_CELLS}", "x y_value")
+def _(spark, sf):
+    return curves.pair_sample(sensors(spark, sf))
+
+
 # Scenarios.
 
 def _reading(sensor: str, shift: dict, sigma: dict, drift: dict, repeat: int) -> str:

@@ -134,8 +134,7 @@ def neighbour_mutual_information(
     in_order = W.partitionBy("feature", BUCKET).orderBy("value", "kind").rowsBetween(W.unboundedPreceding, 0)
     seen = with_bucket(marks, "value", edges).withColumn("local", F.sum((F.col("kind") == 1).cast("long")).over(in_order))
     counted = (
-        seen.where(F.col("kind") != 1)
-        .join(_points_before_bucket(points, edges), ["feature", BUCKET])
+        join_checked(seen.where(F.col("kind") != 1), _points_before_bucket(points, edges), ["feature", BUCKET], limit=100_000)
         .groupBy("feature", "row")
         .agg(F.sum((F.col("local") + F.col("earlier")) * (1 - F.col("kind"))).alias("inside"))
     )
@@ -202,7 +201,8 @@ def _class_radii(points: DataFrame, target: str, id_col: str, k: int, edges: Seq
             "left": F.collect_list("value").over(ordered.rowsBetween(-k, -1)),
             "right": F.collect_list("value").over(ordered.rowsBetween(1, k)),
         }
-    ).join(lent, [*group, BUCKET])
+    )
+    near = join_checked(near, lent, [*group, BUCKET], limit=100_000)
     x = F.col("value")
     left, right = F.concat("before", "left"), F.concat("right", "after")
     wanted = F.least(F.lit(k), F.col("class_rows") - 1).cast("int")

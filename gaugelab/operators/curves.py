@@ -22,15 +22,18 @@ def roc_points(predictions: DataFrame, keys: Sequence[str] = ("model",)) -> Data
     keys = list(keys)
     table = score_table(predictions, keys)
     p, n = F.col("total_pos").cast("double"), F.col("total_neg").cast("double")
-    points = table.select(
-        *keys,
-        F.col("score").alias("threshold"),
-        F.try_divide(n - F.col("before_neg"), n).alias("fpr"),
-        F.try_divide(p - F.col("before_pos"), p).alias("tpr"),
-    )
-    # Every model with a score has exactly one largest score: it carries the origin.
-    origin = table.where(F.col("next_value").isNull()).select(*keys, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    return points.unionByName(origin)
+    point = _point("fpr", F.try_divide(n - F.col("before_neg"), n), "tpr", F.try_divide(p - F.col("before_pos"), p))
+    return table.select(*keys, F.inline(_with_end(point, "fpr", 0.0, "tpr", 0.0)))
+
+
+def _point(x_name: str, x: Column, y_name: str, y: Column) -> Column:
+    return F.struct(F.col("score").alias("threshold"), x.cast("double").alias(x_name), y.cast("double").alias(y_name))
+
+
+def _with_end(point: Column, x_name: str, x: float, y_name: str, y: float) -> Column:
+    """The point, and after the group's one largest score also the end of the curve (threshold NULL)."""
+    end = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(x).alias(x_name), F.lit(y).alias(y_name))
+    return F.when(F.col("next_value").isNull(), F.array(point, end)).otherwise(F.array(point))
 
 
 def pr_points(predictions: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
@@ -39,11 +42,8 @@ def pr_points(predictions: DataFrame, keys: Sequence[str] = ("model",)) -> DataF
     table = score_table(predictions, keys)
     hit = (F.col("total_pos") - F.col("before_pos")).cast("double")
     flagged = hit + F.col("total_neg") - F.col("before_neg")
-    points = table.select(
-        *keys, F.col("score").alias("threshold"), F.try_divide(hit, F.col("total_pos").cast("double")).alias("recall"), (hit / flagged).alias("precision")
-    )
-    end = table.where(F.col("next_value").isNull()).select(*keys, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"))
-    return points.unionByName(end)
+    point = _point("recall", F.try_divide(hit, F.col("total_pos").cast("double")), "precision", hit / flagged)
+    return table.select(*keys, F.inline(_with_end(point, "recall", 0.0, "precision", 1.0)))
 
 
 def curve_areas(predictions: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
@@ -149,7 +149,11 @@ def histogram(df: DataFrame, value: str, bins: int, keys: Sequence[str] = ()) ->
     # A constant column gets a range of one around it.
     flat = F.col("_min") == F.col("_max")
     extent = extent.select(*keys, F.when(flat, F.col("_min") - 0.5).otherwise(F.col("_min")).alias("start"), F.when(flat, F.col("_max") + 0.5).otherwise(F.col("_max")).alias("stop"))
-    placed = join_checked(narrow.withColumn("_all", F.lit(1)), extent.withColumn("_all", F.lit(1)), [*keys, "_all"])
+    if keys:
+        placed = join_checked(narrow, extent, keys)
+    else:
+        row = extent.first()
+        placed = narrow.withColumns({"start": F.lit(row["start"]).cast("double"), "stop": F.lit(row["stop"]).cast("double")})
     width = (F.col("stop") - F.col("start")) / float(bins)
     number = F.least(F.floor((F.col("value") - F.col("start")) / width), F.lit(bins - 1)).cast("int")
     counted = placed.groupBy(*keys, "start", "stop", number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))

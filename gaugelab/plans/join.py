@@ -16,8 +16,8 @@ def settled(small: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, b
     The rows are fetched once and only up to the limit, so neither the driver
     nor a broadcast ever holds more than that.
     """
-    rows = small.limit(limit + 1).collect()
-    if len(rows) > limit:
+    rows = small.limit(limit + 1).toArrow()
+    if rows.num_rows > limit:
         return small, False
     return small.sparkSession.createDataFrame(rows, small.schema), True
 
