@@ -98,18 +98,24 @@ def fixed_scorers() -> dict[str, tuple[Column | None, Column]]:
 
 def score_all(df: DataFrame, scorers: Mapping[str, tuple[Column | None, Column]] | None = None) -> DataFrame:
     """One row per input row and scorer: model, y_pred, y_proba, y_score. A score without probability is cut at 0."""
+    listed = scorers or fixed_scorers()
+    # Each score is computed once, before the row is copied per scorer.
+    made = {f"_score_{name}": score.cast("double") for name, (_, score) in listed.items()}
+    made |= {f"_proba_{name}": proba.cast("double") for name, (proba, score) in listed.items() if proba is not None and proba is not score}
+    staged = df.withColumns(made)
     cells = []
-    for name, (proba, score) in (scorers or fixed_scorers()).items():
-        cut = F.lit(0.5) if proba is not None else F.lit(0.0)
+    for name, (proba, _) in listed.items():
+        score = F.col(f"_score_{name}")
+        chance = F.lit(None).cast("double") if proba is None else F.col(f"_proba_{name}") if f"_proba_{name}" in made else score
         cells.append(
             F.struct(
                 F.lit(name).alias("model"),
-                (score >= cut).cast("int").alias("y_pred"),
-                (proba if proba is not None else F.lit(None)).cast("double").alias("y_proba"),
-                score.cast("double").alias("y_score"),
+                (score >= (0.5 if proba is not None else 0.0)).cast("int").alias("y_pred"),
+                chance.alias("y_proba"),
+                score.alias("y_score"),
             )
         )
-    return df.select("*", F.inline(F.array(*cells)))
+    return staged.select(*df.columns, F.inline(F.array(*cells)))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
