@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugelab.llm import contamination
+from gaugelab.llm import bpe, contamination, token_counts
 from gaugelab.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from gaugelab.plans.bindings import table
 
@@ -25,3 +25,13 @@ from gaugelab.plans.bindings import table
 def _(spark, sf):
     found = contamination.report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op5_bpe_automaton")
+def _(spark, sf):
+    return bpe.digests(table(spark, sf, "documents"))
+
+
+@query("op8_token_counts")
+def _(spark, sf):
+    return token_counts.suffix_sums(token_counts.histogram(table(spark, sf, "documents")))
