@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugelab.llm import bpe, contamination, token_counts
+from gaugelab.llm import bpe, contamination, quality, token_counts
 from gaugelab.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from gaugelab.plans.bindings import table
 
@@ -35,3 +35,11 @@ def _(spark, sf):
 @query("op8_token_counts")
 def _(spark, sf):
     return token_counts.suffix_sums(token_counts.histogram(table(spark, sf, "documents")))
+
+
+@query("op7_quality_classifier")
+def _(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
