@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugelab.llm import bpe, contamination, quality, token_counts
+from gaugelab.llm import bpe, contamination, pii, quality, token_counts
 from gaugelab.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from gaugelab.plans.bindings import table
 
@@ -43,3 +43,8 @@ def _(spark, sf):
     model = quality.fit(docs, table(spark, sf, "labels"))
     scored = quality.score(docs, model)
     return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
+@query("op4_pii_spans")
+def _(spark, sf):
+    return pii.report(table(spark, sf, "documents"))
