@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugelab.llm import bpe, contamination, pii, quality, token_counts
+from gaugelab.llm import bpe, contamination, pii, quality, token_counts, warc
 from gaugelab.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from gaugelab.plans.bindings import table
+from gaugelab.storage import run_folder, written
 
 
 @query(
@@ -48,3 +49,32 @@ def _(spark, sf):
 @query("op4_pii_spans")
 def _(spark, sf):
     return pii.report(table(spark, sf, "documents"))
+
+
+# Five bits of the digest per letter, out of 20 bits at a time.
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, {1 + 5 * (i // 4)}, 5) AS BIGINT) >> {15 - 5 * (i % 4)}) & 31 AS INTEGER), 1)" for i in range(32))
+
+
+@query(
+    "op1_warc_round_trip",
+    f"""WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
+    f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
+    bits AS (SELECT h, {_BASE32} AS d FROM f)
+    SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id <> first THEN first END AS refers_to FROM p JOIN f USING (h) JOIN bits USING (h)""",
+)
+def _(spark, sf):
+    folder = run_folder(spark, "archives")
+    warc.write(table(spark, sf, "pages"), folder)
+    records = written(warc.read(spark, folder, payload=False), "records")
+
+    def page(column: str):
+        return F.regexp_extract(column, "^urn:page:(-?[0-9]+):", 1).cast("long")
+
+    return warc.resolved(records).select(
+        page("record_id").alias("page_id"),
+        "payload_bytes",
+        F.col("payload_sha1").alias("payload_digest"),
+        "record_type",
+        F.when(F.col("record_type") == "revisit", page("refers_to")).alias("refers_to"),
+    )
