@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugelab.llm import bpe, contamination, pii, quality, token_counts, warc
+from gaugelab.llm import bpe, contamination, near_vectors, pii, quality, token_counts, warc
 from gaugelab.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from gaugelab.plans.bindings import table
 from gaugelab.storage import run_folder, written
@@ -78,3 +78,8 @@ def _(spark, sf):
         "record_type",
         F.when(F.col("record_type") == "revisit", page("refers_to")).alias("refers_to"),
     )
+
+
+@query("op6_embedding_near_duplicates")
+def _(spark, sf):
+    return near_vectors.near_duplicates(table(spark, sf, "embeddings"))
