@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugelab.llm import text as tx
 from gaugelab.llm.components import components
 from gaugelab.storage import written
 
@@ -126,6 +127,7 @@ def groups(entries: DataFrame, threshold: float, width: int) -> DataFrame:
         m = rows.num_rows
         if m < 2:
             return None
+        rows = rows.combine_chunks()
         values = np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.float32 if width == 4 else np.float64).reshape(m, -1).astype(np.float64)
         patterns = np.frombuffer(b"".join(rows.column("patterns").to_pylist()), np.int64).reshape(m, -1)
         lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
@@ -138,25 +140,9 @@ def groups(entries: DataFrame, threshold: float, width: int) -> DataFrame:
         return rep[hit], (near[hit] @ n), rep[_roots(near)[hit]]
 
     def run(batches):
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([held, table]) if held is not None else table
-            keys = [table.column(c).combine_chunks() for c in (*KEY, "lo", "hi")]
-            change = np.zeros(table.num_rows, bool)
-            for k in keys:
-                v = k.to_numpy(zero_copy_only=False)
-                change[1:] |= v[1:] != v[:-1]
-            cuts = [0, *np.flatnonzero(change).tolist()]
-            found = [r for a, b in zip(cuts, cuts[1:]) if (r := solve(table.slice(a, b - a))) is not None]
-            held = table.slice(cuts[-1]).combine_chunks()
-            if found:
-                yield _rows(found)
-        if held is not None and (r := solve(held)) is not None:
-            yield _rows([r])
-
-    def _rows(found):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found)], ["rep", "links", "root"])
+        for rows in tx.row_groups(batches, [*KEY, "lo", "hi"]):
+            if (r := solve(rows)) is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in r], ["rep", "links", "root"])
 
     return entries.mapInArrow(run, "rep long, links long, root long")
 

@@ -138,3 +138,23 @@ def shingle_hashes(hashes: np.ndarray, begins: np.ndarray, size: int) -> tuple[n
         values[a] = mixed((hashes[a:b] * factor[: b - a]).sum(dtype=_U, keepdims=True) + _U(b - a))[0]
         keep[a + 1 : b] = False
     return values[keep], text[keep]
+
+
+def row_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of consecutive rows with equal keys; rows must come sorted by them. Keys are not null."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]) if held is not None else table
+        change = np.zeros(table.num_rows, bool)
+        for k in keys:
+            v = table.column(k).to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist()]
+        for a, b in zip(cuts, cuts[1:]):
+            yield table.slice(a, b - a)
+        held = table.slice(cuts[-1])
+    if held is not None:
+        yield held
