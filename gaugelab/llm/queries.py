@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugelab.llm import bpe, contamination, near_text, near_vectors, pii, quality, token_counts, warc
+from gaugelab.llm import bpe, contamination, lm, near_text, near_vectors, pii, quality, token_counts, warc
 from gaugelab.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from gaugelab.plans.bindings import table
 from gaugelab.storage import run_folder, written
@@ -88,3 +88,8 @@ def _(spark, sf):
 @query("op9_ngram_jaccard_join")
 def _(spark, sf):
     return near_text.classes(table(spark, sf, "documents"))
+
+
+@query("op3_language_model_scores")
+def _(spark, sf):
+    return lm.score(table(spark, sf, "documents"))
