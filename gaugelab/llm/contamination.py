@@ -259,5 +259,6 @@ def _set_bits(binary):
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", **options) -> DataFrame:
     """The documents that hold no benchmark window, with all their columns."""
-    found = scan(docs, benchmark, text_column, **options)
-    return found.where(F.size("_items") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, (text,) = tx.positional(docs, text_column)
+    found = scan(rows, benchmark, text, **options)
+    return found.where(F.size("_items") == 0).select(*rows.columns).toDF(*docs.columns)

@@ -169,4 +169,5 @@ def score(docs: DataFrame, model: Classifier, text_column: str = "text", score_c
 
 def accepted(docs: DataFrame, model: Classifier, text_column: str = "text", cut: float = CUT) -> DataFrame:
     """The documents with a score of at least ``cut``, with all their columns."""
-    return score(docs, model, text_column, "_quality_score").where(F.col("_quality_score") >= cut).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, (text,) = tx.positional(docs, text_column)
+    return score(rows, model, text, "score").where(F.col("score") >= cut).select(*rows.columns).toDF(*docs.columns)

@@ -11,9 +11,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 4 << 20
 
+
+def positional(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """The table with columns named by position, so that none clashes with a working column, and the new names of some."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    lower = [c.lower() for c in docs.columns]
+    return docs.toDF(*names), [names[lower.index(c.lower())] for c in columns]
+
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
