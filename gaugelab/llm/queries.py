@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugelab.llm import bpe, contamination, lm, near_text, near_vectors, pii, quality, token_counts, warc
+from gaugelab.llm import bpe, contamination, lm, near_text, near_vectors, pii, quality, repeats, token_counts, warc
 from gaugelab.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from gaugelab.plans.bindings import table
 from gaugelab.storage import run_folder, written
@@ -93,3 +93,9 @@ def _(spark, sf):
 @query("op3_language_model_scores")
 def _(spark, sf):
     return lm.score(table(spark, sf, "documents"))
+
+
+@query("op2_repeated_strings")
+def _(spark, sf):
+    found = repeats.removed(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
