@@ -91,7 +91,7 @@ def _(spark, sf):
     return profile.descriptive_stats(sensors(spark, sf))
 
 
-@query("descriptive_stats_gauges", _describe(GAUGES, "gauges"), _DESCRIBED, digits=3)
+@query("descriptive_stats_gauges", _describe(GAUGES, "gauges"), _DESCRIBED, digits=3)  # variances of prices reach 1e9: 3 decimals are 12 digits
 def _(spark, sf):
     return profile.descriptive_stats(gauges(spark, sf))
 
@@ -104,7 +104,7 @@ def _(spark, sf):
     return profile.stats_by_class(sensors(spark, sf))
 
 
-@query("stats_by_class_gauges", f"""WITH {GAUGES}, {unpivoted('gauges', '"Class"')} {_BY_CLASS}""", "mean std min max", digits=4)
+@query("stats_by_class_gauges", f"""WITH {GAUGES}, {unpivoted('gauges', '"Class"')} {_BY_CLASS}""", "mean std min max")
 def _(spark, sf):
     return profile.stats_by_class(gauges(spark, sf))
 
@@ -206,7 +206,7 @@ def _(spark, sf):
     return profile.quantiles(sensors(spark, sf), FEATURES, _PROBS, ["Fruit"]).select("Fruit", "feature", "probability", "quantile")
 
 
-@query("quantiles_price", "SELECT " + " UNION ALL SELECT ".join(f"CAST({p} AS DOUBLE) AS probability, quantile_cont(l_extendedprice, {p}) AS quantile FROM lineitem" for p in _PROBS), "probability quantile", digits=4)
+@query("quantiles_price", "SELECT " + " UNION ALL SELECT ".join(f"CAST({p} AS DOUBLE) AS probability, quantile_cont(l_extendedprice, {p}) AS quantile FROM lineitem" for p in _PROBS), "probability quantile")
 def _(spark, sf):
     prices = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_extendedprice").alias("value"))
     return values_at_quantiles(prices, [], "value", _PROBS).select("probability", "quantile")
@@ -241,12 +241,12 @@ _CRAMER = f"""chi AS (SELECT feature, min(n) AS n, min(r) AS r, min(k) AS k,
     SELECT feature, CAST(chi2 AS DOUBLE) AS chi2, CASE WHEN den > 0 THEN sqrt(phi / den) END AS cramers_v FROM v"""
 
 
-@query("cramers_v", f"""WITH {_binned(SENSORS, 'sensors', '"Class"')}, {_contingency('"Class"')}, {_CRAMER}""", "chi2 cramers_v", digits=5)
+@query("cramers_v", f"""WITH {_binned(SENSORS, 'sensors', '"Class"')}, {_contingency('"Class"')}, {_CRAMER}""", "chi2 cramers_v")
 def _(spark, sf):
     return association.cramers_v_with_target(sensors(spark, sf), "Class")
 
 
-@query("cramers_v_gauges", f"""WITH {_binned(GAUGES, 'gauges', '"Class"')}, {_contingency('"Class"')}, {_CRAMER}""", "chi2 cramers_v", digits=4)
+@query("cramers_v_gauges", f"""WITH {_binned(GAUGES, 'gauges', '"Class"')}, {_contingency('"Class"')}, {_CRAMER}""", "chi2 cramers_v")
 def _(spark, sf):
     return association.cramers_v_with_target(gauges(spark, sf), "Class")
 
@@ -255,7 +255,7 @@ _TWO_BY_TWO = f"""WITH {SENSORS}, binned AS (SELECT "Class", 'warm' AS feature,
     UNION ALL SELECT "Class", 'rule', CASE WHEN Fruit = 'view' AND Temp > 40 THEN 'yes' ELSE 'no' END FROM sensors)"""
 
 
-@query("cramers_v_two_by_two", f"""{_TWO_BY_TWO}, {_contingency('"Class"')}, {_CRAMER}""", "chi2 cramers_v", digits=5)
+@query("cramers_v_two_by_two", f"""{_TWO_BY_TWO}, {_contingency('"Class"')}, {_CRAMER}""", "chi2 cramers_v")
 def _(spark, sf):
     flags = sensors(spark, sf).select(
         "Class",
@@ -311,13 +311,14 @@ def _(spark, sf):
 
 @query(
     "feature_relevance",
-    f"""WITH {_binned(SENSORS, 'sensors', '"Class"')}, {_contingency('"Class"')}, mi AS ({_PLUGIN}), cv AS (SELECT * FROM (WITH {_CRAMER}))
+    f"""WITH mi AS (SELECT * FROM (WITH {_neighbour_information(SENSORS, 'sensors', 'y')} UNION ALL {_PLUGIN_FRUIT})),
+    cv AS (SELECT * FROM (WITH {_binned(SENSORS, 'sensors', '"Class"')}, {_contingency('"Class"')}, {_CRAMER}))
     SELECT coalesce(mi.feature, cv.feature) AS feature, mutual_information, cramers_v FROM mi FULL JOIN cv ON mi.feature = cv.feature""",
     "mutual_information cramers_v",
 )
 def _(spark, sf):
-    binned = association.binned_features(sensors(spark, sf), "Class")
-    return association.feature_relevance(association.plugin_mutual_information(binned, "Class"), association.cramers_v(binned, "Class"))
+    rows = sensors(spark, sf)
+    return association.feature_relevance(association.mutual_information(rows, "y"), association.cramers_v(association.binned_features(rows, "Class"), "Class"))
 
 
 def _leakage(cte: str, source: str, y: str) -> str:
@@ -336,7 +337,7 @@ def _(spark, sf):
     return association.leakage_scan(sensors(spark, sf))
 
 
-@query("leakage_scan_gauges", _leakage(GAUGES, "gauges", """(CASE WHEN "Class" = 'Bad' THEN 1 ELSE 0 END)"""), "best_single_split_acc threshold", digits=4)
+@query("leakage_scan_gauges", _leakage(GAUGES, "gauges", """(CASE WHEN "Class" = 'Bad' THEN 1 ELSE 0 END)"""), "best_single_split_acc threshold")
 def _(spark, sf):
     rows = gauges(spark, sf)
     return association.leakage_scan(rows.withColumn("y", cleaning.encoded_target(F.col("Class"))))
@@ -385,14 +386,14 @@ def _density(cut: float, points: int, shared: bool) -> str:
     FROM g JOIN d ON g.feature = d.feature AND g."Class" = d."Class" GROUP BY ALL"""
 
 
-@query("density_by_class", _density(3.0, 50, True), "x density")
+@query("density_by_class", _density(3.0, 200, True), "x density")
 def _(spark, sf):
-    return curves.density(sensors(spark, sf), points=50)
+    return curves.density(sensors(spark, sf))
 
 
-@query("violin_by_class", _density(0.0, 50, False), "x density")
+@query("violin_by_class", _density(0.0, 200, False), "x density")
 def _(spark, sf):
-    return curves.density(sensors(spark, sf), points=50, cut=0.0, keys_share_grid=False)
+    return curves.density(sensors(spark, sf), cut=0.0, keys_share_grid=False)
 
 
 def _histogram(cte: str, source: str, keys: str, value: str, bins: int) -> str:
@@ -411,15 +412,6 @@ def _(spark, sf):
     return curves.histogram(sensors(spark, sf), "Light", 30, ["Fruit", "y"])
 
 
-@query(
-    "scaler_report",
-    f"WITH {SENSORS}, {unpivoted('sensors', '')} SELECT feature, avg(value) AS train_mean, stddev_pop(value) AS train_scale FROM long GROUP BY 1",
-    "train_mean train_scale",
-)
-def _(spark, sf):
-    return features.scaler_report(sensors(spark, sf), FEATURES)
-
-
 _GAPS = f"""{SENSORS}, gaps AS (SELECT id, y, CASE WHEN id % 17 = 0 THEN NULL ELSE Temp END AS Temp, Humidity, Light, CO2,
     CASE WHEN id % 19 = 0 THEN NULL ELSE Fruit END AS Fruit FROM sensors)"""
 _PREPARED = f"""WITH {_GAPS}, med AS (SELECT quantile_cont(Temp, 0.5) AS mt FROM gaps),

@@ -6,18 +6,17 @@ reasonable time on one machine; the rows are always all rows.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from gaugelab.catalog.base import SENSORS, duck_word, query, scored
 from gaugelab.catalog.scoring import _METRICS, _SPLIT, _metric_sql
+from gaugelab.fixed_values import SEARCH_SPACES
 from gaugelab.fixed_values import SENSORS as SENSOR_NAMES
 from gaugelab.models import zoo
 from gaugelab.operators import attribution, compare, cost, evaluate, metrics, split, tuning
 from gaugelab.operators.features import fit_preparation
 from gaugelab.plans.bindings import score_all, sensors, table
-from gaugelab.storage import checkpoint_folder
+from gaugelab.storage import run_folder
 
 SMALL: dict[str, dict] = {
     "Decision Tree": {"max_depth": 10},
@@ -128,16 +127,24 @@ def _(spark, sf):
     return attribution.subset_impact(sensors(spark, sf), folds=2, settings={"trees": 5, "max_depth": 8})
 
 
+# Ranges of a few rounds, as one fit in the fixed ranges takes minutes here; the search itself is the same.
+NARROW_SPACES = {
+    "Random Forest": SEARCH_SPACES["Random Forest"] | {"n_estimators": ("int", 4, 12, 2), "max_depth": ("int", 3, 8, 1)},
+    "XGBoost": SEARCH_SPACES["XGBoost"] | {"n_estimators": ("int", 4, 10, 2), "max_depth": ("int", 2, 6, 1)},
+    "LightGBM": SEARCH_SPACES["LightGBM"] | {"n_estimators": ("int", 4, 10, 2), "max_depth": ("int", 3, 6, 1)},
+    "CatBoost": SEARCH_SPACES["CatBoost"] | {"iterations": ("int", 4, 10, 2), "depth": ("int", 3, 6, 1)},
+}
+
+
 @query("tuning_search")
 def _(spark, sf):
-    results = tuning.search(sensors(spark, sf), ["CatBoost", "Random Forest"], trials=2, folds=2, limits={"iterations": 8, "n_estimators": 8, "depth": 6, "max_depth": 8})
-    return tuning.best_trials(results)
+    return tuning.best_trials(tuning.search(sensors(spark, sf), trials=2, folds=2, spaces=NARROW_SPACES))
 
 
 @query("cost_profile")
 def _(spark, sf):
     train, test = _parts(spark, sf)
-    folder = os.path.join(checkpoint_folder(spark), "models")
+    folder = run_folder(spark, "models")
     return compare.deployment_view(cost.profile_models(train, test, folder, ["GaussianNB", "Ridge Classifier", "Decision Tree"], repeats=2, settings=SMALL))
 
 
@@ -280,7 +287,7 @@ def _(spark, sf):
 
     train, test = _parts(spark, sf)
     fitted = zoo.fit_model("GaussianNB", train)
-    path = os.path.join(checkpoint_folder(spark), "predictions")
+    path = run_folder(spark, "predictions")
     tables.write_predictions(evaluate.scored_rows(fitted, test, "GaussianNB"), path)
     return metrics.metric_suite(tables.read_predictions(spark, path), ["model"])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gaugelab.catalog.base import SENSORS, duck_normal, duck_word, query, scored, unpivoted
 from gaugelab.fixed_values import COMBINED_SHIFTS, DRIFTS, NOISE_LEVELS, NOISE_REPEATS, NOISE_SIGMA, SENSORS as SENSOR_NAMES, SINGLE_SHIFTS
-from gaugelab.operators import compare, curves, errors, metrics, rules, scenarios, significance, split
+from gaugelab.operators import compare, curves, errors, features, metrics, rules, scenarios, significance, split
 from gaugelab.plans.bindings import FIXED_SCORERS as MODELS
 from gaugelab.plans.bindings import predictions, score_all, sensors
 
@@ -370,9 +370,9 @@ def _(spark, sf):
 _PAIR_CELLS = " UNION ALL ".join(f"SELECT id, \"Class\", '{a}' AS feature_x, '{b}' AS feature_y, {a} AS x, {b} AS y_value FROM pick" for a, b in combinations(SENSOR_NAMES, 2))
 
 
-@query("pair_sample", f"WITH {SENSORS}, pick AS (SELECT * FROM sensors ORDER BY {_hash('sample')}, id LIMIT 2000) {_PAIR_CELLS}", "x y_value")
+@query("pair_sample", f"WITH {SENSORS}, pick AS (SELECT * FROM sensors) {_PAIR_CELLS}", "x y_value")
 def _(spark, sf):
-    return curves.pair_sample(sensors(spark, sf))
+    return curves.pair_points(sensors(spark, sf))
 
 
 # Scenarios.
@@ -530,3 +530,15 @@ def _(spark, sf):
 def _(spark, sf):
     rows = sensors(spark, sf)
     return rules.rule_histogram(rows, rules.threshold_rules(rows))
+
+
+_TRAIN_LONG = unpivoted("seen", "", features=tuple(SENSOR_NAMES))
+
+
+@query(
+    "scaler_report",
+    f"WITH {_SPLIT}, seen AS (SELECT * FROM parts WHERE split = 'train'), {_TRAIN_LONG} SELECT feature, avg(value) AS train_mean, stddev_pop(value) AS train_scale FROM long GROUP BY 1",
+    "train_mean train_scale",
+)
+def _(spark, sf):
+    return features.scaler_report(split.with_split(sensors(spark, sf)).where("split = 'train'"), SENSOR_NAMES)

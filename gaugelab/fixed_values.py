@@ -75,7 +75,6 @@ METRICS = [
     "accuracy", "balanced_accuracy", "precision", "recall", "f1", "roc_auc",
     "pr_auc", "mcc", "cohen_kappa", "log_loss", "brier_score",
 ]
-LOWER_IS_BETTER = {"log_loss", "brier_score"}
 
 # Model name -> (family, scaled inputs).
 MODEL_FAMILIES = {

@@ -48,13 +48,16 @@ def _nearest(points: np.ndarray, ids: np.ndarray, labels: np.ndarray, rows: np.n
         # Distances equal to nine decimals count as equal.
         d = np.round(d, 9)
         kth = np.partition(d, k - 1, axis=1)[:, k - 1]
-        for r in range(len(block)):
-            near = np.flatnonzero(d[r] <= kth[r])
-            near = near[np.lexsort((ids[near], d[r][near]))][:k]
-            out_d.append(d[r][near])
-            out_i.append(ids[near])
-            out_y.append(labels[near])
-    return np.array(out_d), np.array(out_i), np.array(out_y)
+        row, at = np.nonzero(d <= kth[:, None])
+        order = np.lexsort((ids[at], d[row, at], row))
+        row, at = row[order], at[order]
+        first = np.searchsorted(row, np.arange(len(block)))
+        near = at[first[:, None] + np.arange(k)]
+        out_d.append(np.take_along_axis(d, near, axis=1))
+        out_i.append(ids[near])
+        out_y.append(labels[near])
+    none = np.zeros((0, k))
+    return np.concatenate([none, *out_d]), np.concatenate([none.astype(ids.dtype), *out_i]), np.concatenate([none.astype(labels.dtype), *out_y])
 
 
 def nearest_by_broadcast(queries: DataFrame, reference: DataFrame, k: int) -> DataFrame:

@@ -101,7 +101,7 @@ def fit_model(
         lead, origin = _random_cut_stages(train, named, {n: sources[n] for n in named}, settings, seed)
     else:
         lead, origin = vector_stages(list(named.values())), [sources[n] for n in named]
-    fitted = Pipeline(stages=[*lead, *_ESTIMATORS[name](train, len(origin), settings, seed)]).fit(staged)
+    fitted = Pipeline(stages=[*lead, *_ESTIMATORS[name](made.rows or train.count(), len(origin), settings, seed)]).fit(staged)
     return FittedModel(name, fitted, "vectors", {str(i): column for i, column in enumerate(origin)})
 
 
@@ -125,20 +125,20 @@ _BY_COLUMNS: dict[str, Callable] = {"Ridge Classifier": _ridge, "GaussianNB": _g
 
 # Models that end in a Spark ML classifier.
 
-def _logistic(train: DataFrame, width: int, s: dict, seed: int) -> list:
-    penalty = 1.0 / (s["c"] * train.count())
+def _logistic(rows: int, width: int, s: dict, seed: int) -> list:
+    penalty = 1.0 / (s["c"] * rows)
     return [LogisticRegression(labelCol=LABEL, regParam=penalty, standardization=False, tol=1e-10, maxIter=s["max_iter"])]
 
 
-def _sgd(train: DataFrame, width: int, s: dict, seed: int) -> list:
+def _sgd(rows: int, width: int, s: dict, seed: int) -> list:
     return [LogisticRegression(labelCol=LABEL, regParam=s["alpha"], standardization=False, maxIter=s["max_iter"])]
 
 
-def _tree(train: DataFrame, width: int, s: dict, seed: int) -> list:
+def _tree(rows: int, width: int, s: dict, seed: int) -> list:
     return [DecisionTreeClassifier(labelCol=LABEL, maxDepth=s["max_depth"], maxBins=s["max_bins"], seed=seed)]
 
 
-def _forest(train: DataFrame, width: int, s: dict, seed: int) -> list:
+def _forest(rows: int, width: int, s: dict, seed: int) -> list:
     return [
         RandomForestClassifier(
             labelCol=LABEL, numTrees=s["trees"], maxDepth=s["max_depth"], maxBins=s["max_bins"], featureSubsetStrategy=s["subset"],
@@ -147,11 +147,11 @@ def _forest(train: DataFrame, width: int, s: dict, seed: int) -> list:
     ]
 
 
-def _extra_trees(train: DataFrame, width: int, s: dict, seed: int) -> list:
+def _extra_trees(rows: int, width: int, s: dict, seed: int) -> list:
     return [RandomForestClassifier(labelCol=LABEL, numTrees=s["trees"], maxDepth=s["max_depth"], featureSubsetStrategy="sqrt", bootstrap=False, seed=seed)]
 
 
-def _boosting(train: DataFrame, width: int, s: dict, seed: int) -> list:
+def _boosting(rows: int, width: int, s: dict, seed: int) -> list:
     return [
         GBTClassifier(
             labelCol=LABEL, maxIter=s["rounds"], maxDepth=s["max_depth"], stepSize=s["rate"], subsamplingRate=s["subsample"],
@@ -160,9 +160,9 @@ def _boosting(train: DataFrame, width: int, s: dict, seed: int) -> list:
     ]
 
 
-def _svm(train: DataFrame, width: int, s: dict, seed: int) -> list:
+def _svm(rows: int, width: int, s: dict, seed: int) -> list:
     # Scaled numeric columns have variance about one, so 1 / width is the usual kernel width.
-    penalty = 1.0 / (s["c"] * train.count())
+    penalty = 1.0 / (s["c"] * rows)
     return [
         RandomFourierFeatures(inputCol="features", outputCol="lifted", gamma=1.0 / width, size=s["size"], width=width, seed=seed),
         LinearSVC(featuresCol="lifted", labelCol=LABEL, regParam=penalty, maxIter=s["max_iter"], standardization=False, rawPredictionCol="margins", predictionCol="side"),
@@ -171,7 +171,7 @@ def _svm(train: DataFrame, width: int, s: dict, seed: int) -> list:
     ]
 
 
-def _perceptron(train: DataFrame, width: int, s: dict, seed: int) -> list:
+def _perceptron(rows: int, width: int, s: dict, seed: int) -> list:
     return [MultilayerPerceptronClassifier(labelCol=LABEL, layers=[width, *s["hidden"], 2], maxIter=s["max_iter"], seed=seed)]
 
 
@@ -229,26 +229,17 @@ def native_importance(model: FittedModel) -> DataFrame | None:
 
 
 def tuned_settings(name: str, params: dict) -> dict:
-    """Search parameters of a tuned model as overrides of its preset.
+    """The settings that drawn search parameters stand for here; these are what is fitted and reported.
 
-    Parameters without a counterpart in the Spark estimator (l2_leaf_reg) are
-    dropped; leaf counts become depths.
+    Only parameters with a counterpart in the Spark estimator are taken over:
+    l2_leaf_reg, gamma, num_leaves and min_samples_split have none.
     """
     if name == "Random Forest":
-        return {
-            "trees": params["n_estimators"], "max_depth": params["max_depth"], "subset": params["max_features"] or "all",
-            "min_leaf": max(params["min_samples_leaf"], math.ceil(params["min_samples_split"] / 2)),
-        }
+        return {"trees": params["n_estimators"], "max_depth": params["max_depth"], "subset": params["max_features"] or "all", "min_leaf": params["min_samples_leaf"]}
     if name == "XGBoost":
-        return {
-            "rounds": params["n_estimators"], "max_depth": params["max_depth"], "rate": params["learning_rate"], "subsample": params["subsample"],
-            "subset": str(params["colsample_bytree"]), "min_leaf": params["min_child_weight"], "min_gain": params["gamma"] / 100.0,
-        }
+        return {"rounds": params["n_estimators"], "max_depth": params["max_depth"], "rate": params["learning_rate"], "subsample": params["subsample"], "subset": str(params["colsample_bytree"]), "min_leaf": params["min_child_weight"]}
     if name == "LightGBM":
-        return {
-            "rounds": params["n_estimators"], "max_depth": min(params["max_depth"], math.ceil(math.log2(params["num_leaves"]))), "rate": params["learning_rate"],
-            "subsample": params["subsample"], "subset": str(params["colsample_bytree"]), "min_leaf": params["min_child_samples"],
-        }
+        return {"rounds": params["n_estimators"], "max_depth": params["max_depth"], "rate": params["learning_rate"], "subsample": params["subsample"], "subset": str(params["colsample_bytree"]), "min_leaf": params["min_child_samples"]}
     if name == "CatBoost":
         return {"rounds": params["iterations"], "max_depth": params["depth"], "rate": params["learning_rate"]}
     raise KeyError(f"{name} has no search space")

@@ -12,7 +12,7 @@ from gaugelab.fixed_values import GROUP, LEAKAGE_FLAG, SEED, SENSORS
 from gaugelab.functions.hashing import normal
 from gaugelab.functions.scalars import digamma
 from gaugelab.operators.profile import long_values, quantile_lookup
-from gaugelab.plans.join import join_checked, settled
+from gaugelab.plans.join import join_settled, settled
 from gaugelab.plans.order import BUCKET, range_edges, values_at_quantiles, with_bucket
 
 
@@ -40,8 +40,8 @@ def binned_features(df: DataFrame, target: str, features: Sequence[str] = SENSOR
 
 def contingency(long: DataFrame, target: str) -> DataFrame:
     """Cells with their margins: (feature, level, target, n, row_n, col_n, total)."""
-    # Used five times: as a literal table when small, so that the data is read once.
-    cells, _ = settled(long.groupBy("feature", "level", target).agg(F.count(F.lit(1)).alias("n")))
+    # Used five times, computed once.
+    cells = settled(long.groupBy("feature", "level", target).agg(F.count(F.lit(1)).alias("n")))
     by_level = cells.groupBy("feature", "level").agg(F.sum("n").alias("row_n"))
     by_class = cells.groupBy("feature", target).agg(F.sum("n").alias("col_n"))
     totals = cells.groupBy("feature").agg(F.sum("n").alias("total"))
@@ -112,7 +112,7 @@ def neighbour_mutual_information(
     """
     scaled = _scaled_with_jitter(df, target, features, id_col, seed)
     sizes = scaled.groupBy("feature", target).agg(F.count(F.lit(1)).alias("class_rows")).where("class_rows > 1")
-    points = join_checked(scaled, sizes, ["feature", target])
+    points = join_settled(scaled, sizes, ["feature", target])
     # Edges are literals, so the sketch needs only the numbers, not the jittered frame.
     edges = range_edges(points, "value")
 
@@ -134,7 +134,7 @@ def neighbour_mutual_information(
     in_order = W.partitionBy("feature", BUCKET).orderBy("value", "kind").rowsBetween(W.unboundedPreceding, 0)
     seen = with_bucket(marks, "value", edges).withColumn("local", F.sum((F.col("kind") == 1).cast("long")).over(in_order))
     counted = (
-        join_checked(seen.where(F.col("kind") != 1), _points_before_bucket(points, edges), ["feature", BUCKET], limit=100_000)
+        join_settled(seen.where(F.col("kind") != 1), _points_before_bucket(points, edges), ["feature", BUCKET])
         .groupBy("feature", "row")
         .agg(F.sum((F.col("local") + F.col("earlier")) * (1 - F.col("kind"))).alias("inside"))
     )
@@ -202,7 +202,7 @@ def _class_radii(points: DataFrame, target: str, id_col: str, k: int, edges: Seq
             "right": F.collect_list("value").over(ordered.rowsBetween(1, k)),
         }
     )
-    near = join_checked(near, lent, [*group, BUCKET], limit=100_000)
+    near = join_settled(near, lent, [*group, BUCKET])
     x = F.col("value")
     left, right = F.concat("before", "left"), F.concat("right", "after")
     wanted = F.least(F.lit(k), F.col("class_rows") - 1).cast("int")

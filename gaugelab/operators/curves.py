@@ -9,11 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gaugelab.fixed_values import IQR_REACH, SEED, SENSORS, TARGET
+from gaugelab.fixed_values import IQR_REACH, SENSORS, TARGET
 from gaugelab.operators.metrics import score_table
 from gaugelab.operators.profile import long_values, quantiles
-from gaugelab.operators.split import bounded_sample
-from gaugelab.plans.join import join_checked
+from gaugelab.plans.join import join_settled
 from gaugelab.plans.order import values_at_quantiles
 
 
@@ -87,7 +86,7 @@ def calibration_points(predictions: DataFrame, keys: Sequence[str] = ("model",),
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list("quantile")).alias("edges"))
     )
-    binned = join_checked(scored, edges, keys).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("y_proba"))))
+    binned = join_settled(scored, edges, keys).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("y_proba"))))
     return binned.groupBy(*keys, "bin").agg(F.avg("y_proba").alias("mean_probability"), F.avg(F.col("y").cast("double")).alias("positive_share"), F.count(F.lit(1)).alias("n"))
 
 
@@ -101,7 +100,7 @@ def box_summary(df: DataFrame, features: Sequence[str] = SENSORS, key: str = TAR
     reach = IQR_REACH * (F.col("q75") - F.col("q25"))
     inside = (F.col("value") >= F.col("q25") - reach) & (F.col("value") <= F.col("q75") + reach)
     return (
-        join_checked(long_values(df, features, [key]), quartiles, [key, "feature"])
+        join_settled(long_values(df, features, [key]), quartiles, [key, "feature"])
         .groupBy(key, "feature", "q25", "q50", "q75")
         .agg(
             F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
@@ -134,7 +133,7 @@ def density(df: DataFrame, features: Sequence[str] = SENSORS, key: str = TARGET,
     z = (x - F.col("value")) / F.col("h")
     kernel = F.col("weight") * F.exp(-0.5 * z * z) / (F.col("n") * F.col("h") * F.sqrt(F.lit(2.0) * F.pi()))
     return (
-        join_checked(distinct, stats, [key, "feature"])
+        join_settled(distinct, stats, [key, "feature"])
         .withColumn("grid_point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .groupBy(key, "feature", "grid_point")
         .agg(F.max(x).alias("x"), F.sum(kernel).alias("density"))
@@ -150,7 +149,7 @@ def histogram(df: DataFrame, value: str, bins: int, keys: Sequence[str] = ()) ->
     flat = F.col("_min") == F.col("_max")
     extent = extent.select(*keys, F.when(flat, F.col("_min") - 0.5).otherwise(F.col("_min")).alias("start"), F.when(flat, F.col("_max") + 0.5).otherwise(F.col("_max")).alias("stop"))
     if keys:
-        placed = join_checked(narrow, extent, keys)
+        placed = join_settled(narrow, extent, keys)
     else:
         row = extent.first()
         placed = narrow.withColumns({"start": F.lit(row["start"]).cast("double"), "stop": F.lit(row["stop"]).cast("double")})
@@ -166,15 +165,15 @@ def histogram(df: DataFrame, value: str, bins: int, keys: Sequence[str] = ()) ->
     )
 
 
-def pair_sample(df: DataFrame, rows: int = 2000, features: Sequence[str] = SENSORS, key: str = TARGET, id_col: str = "id", seed: int = SEED) -> DataFrame:
-    """Scatter points of every feature pair for a bounded hashed sample: (id, class, pair, x, y)."""
+def pair_points(df: DataFrame, features: Sequence[str] = SENSORS, key: str = TARGET, id_col: str = "id") -> DataFrame:
+    """Scatter points of every feature pair, for all rows: (id, class, pair, x, y)."""
     cells = F.array(
         *[
             F.struct(F.lit(a).alias("feature_x"), F.lit(b).alias("feature_y"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y_value"))
             for a, b in combinations(features, 2)
         ]
     )
-    return bounded_sample(df, rows, id_col, seed).select(id_col, key, F.inline(cells))
+    return df.select(id_col, key, F.inline(cells))
 
 
 def sorted_series(df: DataFrame, label: str, value: str | Column, ascending: bool = True) -> DataFrame:

@@ -16,7 +16,7 @@ from gaugelab.operators.features import fit_preparation
 from gaugelab.operators.metrics import decision_metrics, metric_suite
 from gaugelab.operators.significance import fold_summary
 from gaugelab.operators.split import first_rows, with_folds
-from gaugelab.storage import cut_lineage
+from gaugelab.storage import cut_lineage, written
 
 # Fits that run at the same time; each is a chain of Spark jobs.
 PARALLEL_FITS = 4
@@ -80,13 +80,6 @@ def fold_scores(predictions: DataFrame, metric: str = "f1") -> DataFrame:
     return per_fold.select("fold", "model", F.col(metric).alias("score"))
 
 
-def _run(df: DataFrame) -> float:
-    """Seconds to compute a frame without keeping it."""
-    start = time.perf_counter()
-    df.write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - start
-
-
 def evaluate_on_test(train: DataFrame, test: DataFrame, models: Sequence[str] | None = None, columns: Sequence[str] = FEATURES, settings: Mapping[str, dict] | None = None):
     """Fit on train, score test: (results best F1 first, fitted models, predictions table).
 
@@ -99,9 +92,10 @@ def evaluate_on_test(train: DataFrame, test: DataFrame, models: Sequence[str] |
         start = time.perf_counter()
         fitted[name] = fit_model(name, train, columns, preparation=preparation, **(settings or {}).get(name, {}))
         train_seconds = time.perf_counter() - start
-        frames.append(scored_rows(fitted[name], test, name))
-        times.append((name, train_seconds, _run(frames[-1])))
-    predictions = cut_lineage(union_all(frames))
+        start = time.perf_counter()
+        frames.append(written(scored_rows(fitted[name], test, name), "predictions"))  # scored once: timed as it is kept
+        times.append((name, train_seconds, time.perf_counter() - start))
+    predictions = union_all(frames)
     timed = train.sparkSession.createDataFrame(times, "model string, train_seconds double, predict_seconds double")
     results = metric_suite(predictions, ["model"]).join(timed, "model").orderBy(F.desc("f1"), "model")
     return results, fitted, predictions

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
 from gaugelab.operators.profile import quantile_lookup
+from gaugelab.plans.join import settled
+from gaugelab.plans.order import row_positions
 
-# A category with more levels than this is an identifier, not a feature.
+# A one-hot category with more levels than this is an identifier, not a feature. Codes have no such limit.
 LEVEL_LIMIT = 10_000
 
 
@@ -27,14 +29,16 @@ def detect_feature_types(df: DataFrame, columns: Sequence[str] | None = None) ->
 
 
 def category_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[tuple[str, int]]]:
-    """Levels with counts per categorical column, sorted by level; the number of levels is checked."""
+    """Levels with counts per categorical column, sorted by level; the number of levels of each column is checked."""
     if not columns:
         return {}
     long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "feature", "level")
     counts = long.where(F.col("level").isNotNull()).groupBy("feature", "level").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.limit(LEVEL_LIMIT + 1).collect()
-    if len(rows) > LEVEL_LIMIT:
-        raise ValueError(f"categorical columns {list(columns)} hold more than {LEVEL_LIMIT} levels")
+    counts = settled(counts)
+    wide = [r.feature for r in counts.groupBy("feature").count().where(F.col("count") > LEVEL_LIMIT).collect()]
+    if wide:
+        raise ValueError(f"categorical columns {wide} hold more than {LEVEL_LIMIT} levels")
+    rows = counts.collect()
     found: dict[str, list[tuple[str, int]]] = {c: [] for c in columns}
     for r in sorted(rows, key=lambda r: (r.feature, r.level)):
         found[r.feature].append((r.level, r.n))
@@ -48,10 +52,15 @@ def most_frequent(levels: Sequence[tuple[str, int]]) -> str | None:
 
 def category_codes(df: DataFrame, column: str) -> DataFrame:
     """Add ``column_code``: position of the level in sorted order, -1 for a missing one."""
-    levels = [level for level, _ in category_levels(df, [column])[column]]
-    lookup = F.create_map(*[F.lit(v) for i, level in enumerate(levels) for v in (level, i)]) if levels else None
-    code = F.coalesce(F.try_element_at(lookup, F.col(column)), F.lit(-1)) if lookup is not None else F.lit(-1)
-    return df.withColumn(f"{column}_code", code.cast("int"))
+    levels = df.select(F.col(column).alias("_level")).where(F.col("_level").isNotNull()).distinct()
+    ranked = settled(row_positions(levels.withColumn("_place", _text_place("_level")), [], "_place", ["_level"]).select("_level", F.col("position").alias("_position")))
+    joined = df.join(ranked, F.col(column) == F.col("_level"), "left")
+    return joined.select(*df.columns, F.coalesce("_position", F.lit(-1)).cast("int").alias(f"{column}_code"))
+
+
+def _text_place(column: str) -> Column:
+    """A number in the order of texts, by their first six bytes; equal for texts that begin alike."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(column), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
 
 
 def _sql_text(value: str) -> str:
@@ -81,6 +90,7 @@ class Preparation:
     scales: dict[str, float] = field(default_factory=dict)
     modes: dict[str, str | None] = field(default_factory=dict)
     levels: dict[str, list[str]] = field(default_factory=dict)
+    rows: int = 0
 
     @property
     def outputs(self) -> list[str]:
@@ -135,8 +145,9 @@ def fit_preparation(train: DataFrame, columns: Sequence[str], scale: bool = True
         made.medians = {c: q[0] for c, q in quantile_lookup(as_double, numeric, [0.5]).items()}
         filled = {c: F.coalesce(F.when(~F.isnan(c), F.col(c)), F.lit(made.medians[c])) for c in numeric}
         row = as_double.agg(
-            *[F.avg(v).alias(f"mean_{c}") for c, v in filled.items()], *[F.stddev_pop(v).alias(f"scale_{c}") for c, v in filled.items()]
+            F.count(F.lit(1)).alias("rows"), *[F.avg(v).alias(f"mean_{c}") for c, v in filled.items()], *[F.stddev_pop(v).alias(f"scale_{c}") for c, v in filled.items()]
         ).first()
+        made.rows = row["rows"]
         made.means = {c: row[f"mean_{c}"] for c in numeric}
         made.scales = {c: row[f"scale_{c}"] or 1.0 for c in numeric}
     found = category_levels(train, made.categorical)

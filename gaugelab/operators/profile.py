@@ -7,11 +7,11 @@ from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaugelab.fixed_values import IQR_REACH, SENSORS, TARGET
 from gaugelab.functions.scalars import count_where
+from gaugelab.plans.join import settled
 from gaugelab.plans.order import values_at_quantiles
 
 
@@ -109,9 +109,16 @@ def stats_by_class(df: DataFrame, features: Sequence[str] = SENSORS, key: str =
 
 
 def correlation_matrix(df: DataFrame, features: Sequence[str] = SENSORS) -> DataFrame:
-    """Pearson correlations as rows (feature_a, feature_b, r), both triangles and the diagonal."""
+    """Pearson correlations as rows (feature_a, feature_b, r), both triangles and the diagonal; NULL with a constant column."""
     pairs = list(combinations(features, 2))
-    row = df.agg(*[F.corr(_clean(a), _clean(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+
+    def correlation(a: str, b: str) -> Column:
+        both = _clean(a).isNotNull() & _clean(b).isNotNull()
+        x, y = F.when(both, _clean(a)), F.when(both, _clean(b))
+        spread = F.stddev_pop(x) * F.stddev_pop(y)
+        return F.when(spread > 0, F.covar_pop(x, y) / F.when(spread > 0, spread))
+
+    row = df.agg(*[correlation(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     cells = [(a, b, F.col(f"r{i}")) for i, (a, b) in enumerate(pairs)]
     cells += [(b, a, r) for a, b, r in cells] + [(f, f, F.lit(1.0)) for f in features]
     return row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), r.alias("r")) for a, b, r in cells])))
@@ -124,16 +131,26 @@ def feature_variance(df: DataFrame, features: Sequence[str] = SENSORS) -> DataFr
 def variance_inflation(df: DataFrame, features: Sequence[str] = SENSORS) -> DataFrame:
     """Variance inflation factors: the diagonal of the inverse correlation matrix.
 
-    The p x p matrix is the only thing that reaches the driver.
+    The p x p matrix is the only thing that reaches the driver. A constant column
+    has no factor (NULL); one that the others determine has an infinite one.
     """
     rows = {(r.feature_a, r.feature_b): r.r for r in correlation_matrix(df, features).collect()}
-    return df.sparkSession.createDataFrame(
-        list(zip(features, vif_from_correlations([[rows[a, b] for b in features] for a in features]))), "feature string, vif double"
-    )
+    varying = [f for f in features if len(features) == 1 or any(rows[f, g] is not None for g in features if g != f)]
+    found = dict(zip(varying, vif_from_correlations([[rows[a, b] for b in varying] for a in varying])))
+    return df.sparkSession.createDataFrame([(f, found.get(f)) for f in features], "feature string, vif double")
 
 
 def vif_from_correlations(matrix: Sequence[Sequence[float]]) -> list[float]:
-    return [float(v) for v in np.diag(np.linalg.inv(np.asarray(matrix, dtype=float)))]
+    """1 / (1 - R^2) of each column on the others; infinite where they determine it."""
+    whole = np.asarray(matrix, dtype=float)
+    if len(whole) and np.linalg.cond(whole) < 1e12:
+        return [float(v) for v in np.diag(np.linalg.inv(whole))]
+    found = []
+    for i in range(len(whole)):
+        rest = [j for j in range(len(whole)) if j != i]
+        left = 1.0 - float(whole[i, rest] @ np.linalg.pinv(whole[np.ix_(rest, rest)]) @ whole[rest, i])
+        found.append(1.0 / left if left > 1e-10 else float("inf"))
+    return found
 
 
 def outlier_fences(quartiles: tuple[float, float]) -> tuple[float, float]:
@@ -175,12 +192,13 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def class_imbalance(df: DataFrame, key: str = TARGET) -> DataFrame:
     """Count and share per class, and the ratio of the largest to the smallest class."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    every = W.partitionBy(F.lit(0))  # one row per class
+    counts = settled(counts)
+    all_classes = counts.agg(F.sum("n").alias("rows"), F.max("n").alias("most"), F.min("n").alias("least")).first()
     return counts.select(
         key,
         "n",
-        (F.col("n") / F.sum("n").over(every)).alias("proportion"),
-        (F.max("n").over(every) / F.min("n").over(every)).alias("imbalance_ratio"),
+        (F.col("n") / F.lit(all_classes.rows)).alias("proportion"),
+        F.lit(all_classes.most / all_classes.least if all_classes.rows else None).cast("double").alias("imbalance_ratio"),
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gaugelab.fixed_values import CV_FOLDS, SEED, TEST_FRACTION
 from gaugelab.functions.hashing import uniform
-from gaugelab.plans.join import join_checked, settled
+from gaugelab.plans.join import join_settled, settled
 from gaugelab.plans.order import row_positions, values_at_ranks
 
 
@@ -42,7 +42,7 @@ def _with_cuts(df: DataFrame, keys: Sequence[str], order: str, tie: str, ranks:
     cuts = places.groupBy(*keys).agg(F.array_sort(F.collect_list("place")).alias("_cuts"))
     here = F.struct(F.col(order).alias("order"), F.col(tie).alias("tie"))
     passed = F.size(F.filter("_cuts", lambda cut: cut <= here))
-    return join_checked(df, cuts, keys, "left").withColumn("_passed", F.coalesce(passed, F.lit(0))).drop("_cuts")
+    return join_settled(df, cuts, keys, "left").withColumn("_passed", F.coalesce(passed, F.lit(0))).drop("_cuts")
 
 
 def with_split(df: DataFrame, y: str = "y", id_col: str = "id", fraction: float = TEST_FRACTION, seed: int = SEED) -> DataFrame:
@@ -52,14 +52,14 @@ def with_split(df: DataFrame, y: str = "y", id_col: str = "id", fraction: float
     rows are then told apart by comparing, without being moved.
     """
     keyed = df.withColumn("_u", uniform(seed, F.lit("split"), id_col))
-    share = settled(test_rows_per_class(df, y, fraction))[0]
+    share = settled(test_rows_per_class(df, y, fraction))
     ranks = share.select(y, F.lit(0).alias("slot"), F.col("n_test").cast("long").alias("rank"))
     return _with_cuts(keyed, [y], "_u", id_col, ranks, unit=True).withColumn("split", F.when(F.col("_passed") > 0, "train").otherwise("test")).drop("_u", "_passed")
 
 
 def _block_starts(df: DataFrame, y: str, folds: int) -> DataFrame:
     """(y, slot, rank) of the first row of blocks 1..folds-1; block sizes differ by at most one."""
-    sizes = settled(df.groupBy(y).agg(F.count(F.lit(1)).alias("n")))[0]
+    sizes = settled(df.groupBy(y).agg(F.count(F.lit(1)).alias("n")))
     slots = F.explode(F.sequence(F.lit(1), F.lit(folds - 1)))
     return sizes.withColumn("slot", slots).select(y, "slot", F.ceil(F.col("slot") * F.col("n") / folds).cast("long").alias("rank"))
 
@@ -87,11 +87,6 @@ def bounded_sample(df: DataFrame, rows: int, id_col: str = "id", seed: int = SEE
     return df.orderBy(uniform(seed, F.lit("sample"), id_col), id_col).limit(rows)
 
 
-def learning_sizes(train_rows: int, steps: int = 8, smallest: float = 0.1) -> list[int]:
-    """Training sizes of a learning curve: evenly spaced shares of the training rows."""
-    return sorted({max(1, int((smallest + (1.0 - smallest) * i / (steps - 1)) * train_rows)) for i in range(steps)})
-
-
 def with_learning_rank(df: DataFrame, keys: Sequence[str] = ("fold",), id_col: str = "id", seed: int = SEED) -> DataFrame:
     """Add ``learning_rank`` (1..n) per key in hashed order; sizes nest: rank <= size."""
     keyed = df.withColumn("_u", uniform(seed, F.lit("learning"), id_col))

@@ -13,14 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+# A table of at most this size may be dealt out anew; a larger one never is.
+SPREAD_BYTES = 64 << 20
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal rows out by key when a scan has fewer splits than there are cores.
+    """Deal the rows of a small table out by key, as a file with one row group would keep a single core busy.
 
-    A small file with a single row group would be worked on by one core. Large
-    tables have more splits than cores and are read as they are.
+    Moves at most ``SPREAD_BYTES``; the rows are the same either way.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size <= SPREAD_BYTES else df
 
 
 def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:

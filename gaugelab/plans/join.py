@@ -5,24 +5,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 20_000
+from gaugelab.storage import written
 
 
-def settled(small: DataFrame, limit: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """The frame as a literal table if it has at most ``limit`` rows, and whether it does.
+def settled(small: DataFrame) -> DataFrame:
+    """The frame as a written table: computed once however often it is read, and of known size.
 
-    The rows are fetched once and only up to the limit, so neither the driver
-    nor a broadcast ever holds more than that.
+    Spark then chooses between broadcast and shuffle by the bytes of the table;
+    nothing is fetched to the driver and no plan depends on a row count here.
     """
-    rows = small.limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
-        return small, False
-    return small.sparkSession.createDataFrame(rows, small.schema), True
+    return written(small, "settled")
 
 
-def join_checked(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``small`` when its row count is within the limit, shuffle-join otherwise."""
-    table, is_small = settled(small, limit)
-    return big.join(F.broadcast(table) if is_small else table, list(keys), how)
+def join_settled(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join with ``small`` computed once."""
+    return big.join(settled(small), list(keys), how)

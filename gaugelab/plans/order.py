@@ -150,8 +150,7 @@ def values_at_ranks(df: DataFrame, keys: Sequence[str], order: str, tie: str, ra
     earlier = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
     placed = counts.withColumn("_off", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
     wanted = placed.join(ranks, keys).where((F.col("rank") >= F.col("_off")) & (F.col("rank") < F.col("_off") + F.col("_rows")))
-    wanted, few = settled(wanted.select(*keys, BUCKET, "slot", (F.col("rank") - F.col("_off")).alias("_local")))
-    wanted = F.broadcast(wanted) if few else wanted
+    wanted = settled(wanted.select(*keys, BUCKET, "slot", (F.col("rank") - F.col("_off")).alias("_local")))
     kept = bucketed.join(wanted.select(*keys, BUCKET), [*keys, BUCKET], "left_semi")
     numbered = kept.withColumn("_local", (F.row_number().over(W.partitionBy(*keys, BUCKET).orderBy(order, tie)) - 1).cast("long"))
     return numbered.join(wanted, [*keys, BUCKET, "_local"]).select(*keys, "slot", F.struct(F.col(order).alias("order"), F.col(tie).alias("tie")).alias("place"))
@@ -192,9 +191,8 @@ def values_at_quantiles(
         .where(F.size("_wanted") > 0)
         .drop("_bucket_rows")
     )
-    # At most two buckets per group and probability; fetched once, used twice.
-    hit_buckets, few = settled(hit_buckets)
-    hit_buckets = F.broadcast(hit_buckets) if few else hit_buckets
+    # At most two buckets per group and probability; computed once, used twice.
+    hit_buckets = settled(hit_buckets)
 
     kept = bucketed.join(hit_buckets.select(*keys, BUCKET), [*keys, BUCKET], "left_semi")
     distinct = kept.groupBy(*keys, BUCKET, value).agg(*[F.sum(name).alias(name) for name in sums])
