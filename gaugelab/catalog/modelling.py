@@ -62,15 +62,14 @@ def _joint(k: str) -> str:
     return f"ln({k}.n / total) + {terms}"
 
 
-@query(
-    "model_gaussiannb",
-    f"""WITH {_SCALED}, tr AS (SELECT * FROM prep WHERE split = 'train'),
+_BAYES = f"""WITH {_SCALED}, tr AS (SELECT * FROM prep WHERE split = 'train'),
     g AS (SELECT y, CAST(count(*) AS DOUBLE) AS n, {', '.join(f'avg({o}) AS m_{o}, var_pop({o}) AS v_{o}' for o in _OUTPUTS)} FROM tr GROUP BY y),
     e AS (SELECT 1e-9 * greatest({', '.join(f'var_pop({o})' for o in _OUTPUTS)}) AS eps, CAST(count(*) AS DOUBLE) AS total FROM tr),
     j AS (SELECT p.id, p.y, ({_joint('b')}) - ({_joint('a')}) AS margin FROM prep p, e, (SELECT * FROM g WHERE y = 0) a, (SELECT * FROM g WHERE y = 1) b WHERE p.split = 'test')
-    SELECT id, y, CASE WHEN margin > 0 THEN 1 ELSE 0 END AS y_pred, 1 / (1 + exp(-margin)) AS y_proba FROM j""",
-    "y_proba",
-)
+    SELECT id, y, CASE WHEN margin > 0 THEN 1 ELSE 0 END AS y_pred, 1 / (1 + exp(-margin)) AS y_proba FROM j"""
+
+
+@query("model_gaussiannb", _BAYES, "y_proba")
 def _(spark, sf):
     train, test = _parts(spark, sf)
     return zoo.fit_model("GaussianNB", train).transform(test).select("id", "y", "y_pred", "y_proba")
@@ -281,7 +280,11 @@ def _(spark, sf):
     return scenarios.robustness_summary_extended(scenarios.robustness_extended(test, score))
 
 
-@query("stored_predictions")
+@query(
+    "stored_predictions",
+    f"WITH scored AS (SELECT 'GaussianNB' AS model, y, y_pred, y_proba, y_proba AS y_score FROM ({_BAYES})), {_metric_sql('scored', 'model')} SELECT model, {', '.join(_METRICS.split())} FROM m",
+    _METRICS,
+)
 def _(spark, sf):
     from gaugelab.sources import tables
 
@@ -289,5 +292,5 @@ def _(spark, sf):
     fitted = zoo.fit_model("GaussianNB", train)
     path = run_folder(spark, "predictions")
     tables.write_predictions(evaluate.scored_rows(fitted, test, "GaussianNB"), path)
-    return metrics.metric_suite(tables.read_predictions(spark, path), ["model"])
+    return metrics.metric_suite(tables.read_predictions(spark, path), ["model"]).select("model", *_METRICS.split())
 

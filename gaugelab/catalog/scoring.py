@@ -6,6 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from gaugelab.catalog.audit import _histogram
 from gaugelab.catalog.base import SENSORS, duck_normal, duck_word, query, scored, unpivoted
 from gaugelab.fixed_values import COMBINED_SHIFTS, DRIFTS, NOISE_LEVELS, NOISE_REPEATS, NOISE_SIGMA, SENSORS as SENSOR_NAMES, SINGLE_SHIFTS
 from gaugelab.operators import compare, curves, errors, features, metrics, rules, scenarios, significance, split
@@ -526,7 +527,11 @@ def _(spark, sf):
     return rules.rule_fidelity(split.with_block_folds(sensors(spark, sf)), depths=[1, 2, 3, 4, 5, 6])
 
 
-@query("rule_histogram")
+_RULE_READINGS = f"""WITH {SENSORS}, tr AS (SELECT * FROM ({_threshold_sql(SENSORS, 'sensors')})),
+    readings AS (SELECT s.Fruit, s.y, CASE split_feature WHEN 'Temp' THEN Temp WHEN 'Humidity' THEN Humidity WHEN 'Light' THEN Light ELSE CO2 END AS reading FROM sensors s JOIN tr ON s.Fruit = tr.Fruit)"""
+
+
+@query("rule_histogram", _histogram(_RULE_READINGS, "readings", "Fruit, y", "reading", 30), "low high")
 def _(spark, sf):
     rows = sensors(spark, sf)
     return rules.rule_histogram(rows, rules.threshold_rules(rows))
