@@ -161,6 +161,13 @@ _WORD_ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:[ \t]+(?:
 _KNOWN_ENDINGS = "com org net edu gov info io de fr es uk eu example test invalid"
 _PLAIN_DOMAIN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+[ \t]+(?:{_either(AT_WORDS)})[ \t]+{_LABEL}(?:\.{_LABEL})*\.(?:{_either(_KNOWN_ENDINGS)})\b(?![\w-])", re.I)
 _IN_ADDRESS = re.compile(rf"[ \t]+(?:{_either(AT_WORDS)})[ \t]+|[ \t]*@[ \t]*|[ \t]+(?:{_either(DOT_WORDS)})[ \t]+", re.I)
+# The same with underscores or hyphens for blanks, with entities for signs, and with blanks around both signs.
+_JOINED_ADDRESS = re.compile(rf"(?<![A-Za-z0-9])[A-Za-z0-9.%+]+(?P<gap>[_-])(?:{_either(AT_WORDS)})(?P=gap)[A-Za-z0-9]+(?:(?P=gap)(?:{_either(DOT_WORDS)})(?P=gap)[A-Za-z0-9]+)+", re.I)
+_IN_JOINED = re.compile(rf"([_-])({_either(AT_WORDS, DOT_WORDS)})\1", re.I)
+_ENTITY_AT = re.compile(r"&(?:#0*64|#x0*40|commat);", re.I)
+_ENTITY_DOT = re.compile(r"&(?:#0*46|#x0*2e|period);", re.I)
+_SPACED_DOT = re.compile(rf"(?<=@)(?:{_LABEL}[ \t]+\.[ \t]+)+(?=(?:com|org|net|edu|gov)\b)", re.I)
+_BLANK_DOT = re.compile(r"[ \t]+\.[ \t]+")
 _SPACED_AT = re.compile(rf"(?<=[A-Za-z0-9])(?:[ \t]+@[ \t]*|@[ \t]+)(?={_LABEL}[ \t]*\.)")
 _LETTER_DIGITS = re.compile(r"(?<![A-Za-z0-9])(?=[0-9OoIl|.-]*[0-9])[0-9OoIl|]+(?:[ .-][0-9OoIl|]+)*(?![A-Za-z0-9])")
 
@@ -231,6 +238,16 @@ def _address(m: re.Match) -> Iterator[Piece]:
         yield "." if word in DOT_WORDS.split() else "@", m.start() + part.start(), m.start() + part.end()
 
 
+def _joined(m: re.Match) -> Iterator[Piece]:
+    for part in _IN_JOINED.finditer(m[0]):
+        yield "." if part[2].lower() in DOT_WORDS.split() else "@", m.start() + part.start(), m.start() + part.end()
+
+
+def _blank_dots(m: re.Match) -> Iterator[Piece]:
+    for part in _BLANK_DOT.finditer(m[0]):
+        yield ".", m.start() + part.start(), m.start() + part.end()
+
+
 def _letters(m: re.Match) -> Iterator[Piece]:
     letters = sum(c in "OoIl|" for c in m[0])
     if letters and sum(c in "0123456789" for c in m[0]) >= letters:
@@ -245,14 +262,19 @@ def normalised(text: str) -> Rewritten | None:
     signs = "" if text.isascii() else "".join(c for c in set(text) if ord(c) in GLYPHS)
     if signs:
         made.rewrite(re.compile(f"[{re.escape(signs)}]"), _glyph)
+    if "&" in text:
+        made.rewrite(_ENTITY_AT, _as("@"))
+        made.rewrite(_ENTITY_DOT, _as("."))
     made.rewrite(_BRACKET_AT, _as("@"))
     made.rewrite(_BRACKET_DOT, _as("."))
     lower = made.text.lower()
     if any(w in lower for w in DOT_WORDS.split()):
         made.rewrite(_WORD_ADDRESS, _address)
+        made.rewrite(_JOINED_ADDRESS, _joined)
     made.rewrite(_PLAIN_DOMAIN, _address)
     if "@" in made.text:
         made.rewrite(_SPACED_AT, _as("@"))
+        made.rewrite(_SPACED_DOT, _blank_dots)
     if _DIGIT(made.text):
         made.rewrite(_LETTER_DIGITS, _letters)
     made.rewrite(_SPELLED, _spelled)
@@ -284,6 +306,7 @@ def _bytes(which) -> np.ndarray:
 
 
 _DIGIT_BYTES, _OPEN_BYTES, _LIKE_DIGIT = _bytes(range(48, 58)), _bytes(b"[({<"), _bytes(b"OoIl|")
+_ENTITY_START = _bytes(b"#cCpP")
 _FOREIGN, _SIGN_AFTER_C2 = _bytes(range(0xCA, 0xF8)), _bytes([0xA0, 0xAD, 0xB2, 0xB3, 0xB9])
 
 
@@ -304,6 +327,7 @@ def hints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     like = _LIKE_DIGIT[data]
     marks = _OPEN_BYTES[data] | _FOREIGN[data] | ((data == 0xC2) & _SIGN_AFTER_C2[after])
     marks[:-1] |= (digit[:-1] & like[1:]) | (like[:-1] & digit[1:])
+    marks |= (data == 38) & _ENTITY_START[after]
     blank = (data == 32) | (data == 9)
     marks[:-1] |= (at_sign[:-1] & blank[1:]) | (blank[:-1] & at_sign[1:])
     disguised = _per_text(marks, offsets)

@@ -62,6 +62,17 @@ def test_disguises():
     assert only("call +1​ 415 555 0100 x") == [("phone", "+1​ 415 555 0100")]
 
 
+def test_more_disguises():
+    assert only("x john_at_example_dot_com y") == [("email", "john_at_example_dot_com")]
+    assert only("x john-at-mail-dot-example-dot-org y") == [("email", "john-at-mail-dot-example-dot-org")]
+    assert only("x john&#64;example&#46;com y") == [("email", "john&#64;example&#46;com")]
+    assert only("x john @ example . com y") == [("email", "john @ example . com")]
+    assert only("x JOHN AT EXAMPLE DOT COM y") == [("email", "JOHN AT EXAMPLE DOT COM")]
+    assert only("x 192[.]168[.]1[.]20 y 10(dot)0(dot)0(dot)7 z") == [("ip", "192[.]168[.]1[.]20"), ("ip", "10(dot)0(dot)0(dot)7")]
+    assert only("x + 4 4 two zero y") == []
+    assert only("x @ home . De la y, a@b.co. De la") == []
+
+
 def test_clean_text_is_left_alone():
     for text in ["We met at noon. The dot com years (at least) were one or two.", "one two three", "look at this dot", "Take one at a time; two, three.", "a (at) b", "", "1.2.3 and 12/12/2024"]:
         assert only(text) == [], text
@@ -70,7 +81,7 @@ def test_clean_text_is_left_alone():
 
 def test_no_span_without_hint():
     draw = random.Random(9)
-    parts = ["jane", "doe", " at ", "(at)", " [AT] ", "@", " @ ", " dot ", ".", "example", "com", "org", " ", "four ", "FÜNF ", "zéro-", "nine ", "plus ", "4111", "1", "l", "O", " ", "192", "168", "о", "１", "+", "​", "-", "text "]
+    parts = ["jane", "doe", " at ", "(at)", " [AT] ", "@", " @ ", " dot ", ".", "example", "com", "org", " ", "four ", "FÜNF ", "zéro-", "nine ", "plus ", "4111", "1", "l", "O", " ", "192", "168", "о", "１", "+", "​", "-", "text ", "_at_", "_dot_", "&#64;", "&#46;", " . "]
     texts = ["".join(draw.choice(parts) for _ in range(draw.randint(1, 16))) for _ in range(20000)]
     for text, (base, more) in zip(texts, pii.spans(pa.array(texts))):
         want_base, want_more = pii.find(text)
