@@ -21,16 +21,18 @@ def _ordered(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("big", "small").alias("big"), F.least("big", "small").alias("small")).where("big <> small").distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("big", "small")), F.bit_xor(F.xxhash64("small", "big"))).first())
+def _done(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smallest one, or such edges only come in: then those are the components."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("big").alias("node"), F.lit(1).alias("up")), F.struct(F.col("small").alias("node"), F.lit(0).alias("up")))))
+    seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least"))
+    return seen.where("up > 1 or (up = 1 and least = 0)").isEmpty()
 
 
 def components(edges: DataFrame, one: str, other: str) -> DataFrame:
     """id and component_id (the smallest id reachable) of every node that has an edge to another."""
     spark = edges.sparkSession
     now = written(_ordered(edges.select(F.col(one).alias("big"), F.col(other).alias("small")).dropna()), "edges")
-    state = _state(now)
-    while state[0]:
+    while not _done(now):
         both = now.select(F.col("small").alias("node"), F.col("big").alias("near")).unionByName(now.select(F.col("big").alias("node"), F.col("small").alias("near")))
         least = written(both.groupBy("node").agg(F.min("near").alias("least")), "least")
         large = written(_ordered(now.join(least, now.small == least.node).select("big", F.least("small", "least").alias("small"))), "edges")
@@ -38,9 +40,6 @@ def components(edges: DataFrame, one: str, other: str) -> DataFrame:
         known = large.join(below.withColumnRenamed("big", "node"), large.big == F.col("node"))
         small = known.select(F.inline(F.array(F.struct("big", F.col("least").alias("small")), F.struct(F.col("small").alias("big"), F.col("least").alias("small")))))
         after = written(_ordered(small), "edges")
-        found = _state(after)
         dropped(spark, now, least, large, below)
-        now, state, before = after, found, state
-        if found == before:
-            break
+        now = after
     return now.select(F.col("big").alias("id"), F.col("small").alias("component_id")).unionByName(now.select(F.col("small").alias("id"), F.col("small").alias("component_id")).distinct())
