@@ -1,7 +1,7 @@
 """Training, evaluation, attribution, tuning and cost queries.
 
-Ensemble sizes are smaller than the presets, so that every query ends in
-reasonable time on one machine; the rows are always all rows.
+Forests and boosted trees are smaller than the presets, so that every query ends
+in reasonable time on one machine; the rows are always all rows.
 """
 
 from __future__ import annotations
@@ -19,16 +19,12 @@ from gaugelab.plans.bindings import score_all, sensors, table
 from gaugelab.storage import run_folder, written
 
 SMALL: dict[str, dict] = {
-    "Decision Tree": {"max_depth": 10},
     "Random Forest": {"trees": 20, "max_depth": 10},
     "Extra Trees": {"trees": 20, "max_depth": 10},
-    "AdaBoost": {"rounds": 15},
     "Gradient Boosting": {"rounds": 15},
     "XGBoost": {"rounds": 15},
     "LightGBM": {"rounds": 15},
     "CatBoost": {"rounds": 15},
-    "SVM": {"size": 100, "max_iter": 20},
-    "MLP": {"max_iter": 60},
 }
 
 
