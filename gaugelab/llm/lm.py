@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ from gaugelab.storage import written
 LEVEL_BASE = 1.5
 PROBES = 3
 BITS_PER_ENTRY = 16
-MAX_FILTER_BYTES = 128 << 20
+MAX_FILTER_BYTES = 64 << 20
 FREQUENT = 1 << 20
 PAIR_LEAST = 2
 LAMBDA = 0.4
@@ -288,21 +289,23 @@ def fit(train: DataFrame, text_column: str = "text") -> tuple[Model, DataFrame]:
     parts = max(1, math.ceil(size / PART_BYTES))
     counted = written(_counted(_gathered(texts, parts), parts), "counts")
     totals = counted.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    # Bounded by MAX_FILTER_BYTES in all.
-    segments = {r.part: np.frombuffer(r.segment, np.uint8) for r in counted.select("part", "segment").collect()}
-    sizes = np.array([len(segments.get(p, b"")) or 8 for p in range(parts)], np.int64)
-    bits = np.concatenate([segments.get(p, np.zeros(8, np.uint8)) for p in range(parts)])
+    # Bounded by MAX_FILTER_BYTES in all, and fetched part by part.
+    sizes = np.full(parts, 8, np.int64)
+    for row in counted.select("part", F.length("segment").alias("size")).collect():
+        sizes[row.part] = row.size
+    bits, begin = np.zeros(int(sizes.sum()), np.uint8), np.cumsum(sizes) - sizes
+    for row in counted.select("part", "segment").toLocalIterator():
+        bits[begin[row.part] : begin[row.part] + sizes[row.part]] = np.frombuffer(row.segment, np.uint8)
     words, counts = _frequent(counted, FREQUENT)
-    model = Model(parts, bits, np.cumsum(sizes) - sizes, (sizes * 8 - 1).astype(_U), words, counts, int(totals[0]), int(totals[1]))
+    model = Model(parts, bits, begin, (sizes * 8 - 1).astype(_U), words, counts, int(totals[0]), int(totals[1]))
     return model, counted
 
 
 _SCORED = "kind int, run long, place int, doc_id {0}, held_out boolean, n_tokens long, n_known long, base double, score double, part int, words binary, places binary, times binary"
 
 
-def _scored(docs: DataFrame, model: Model) -> DataFrame:
+def _scored(docs: DataFrame, shared: Broadcast) -> DataFrame:
     """Kind 0: a document with what the frequent words give. Kind 1: the other words of a slice, by part."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c.split()[0] for c in _SCORED.format("x").split(", ")]
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -380,7 +383,9 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     """One row per document, with the model learnt from the documents that are not held out."""
     texts = docs.select(F.col(id_column).alias("doc_id"), held_out(id_column).alias("held_out"), F.col(text_column).alias("text"))
     model, counted = fit(texts.where("not held_out"))
-    scored = written(_scored(texts, model), "scored")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    scored = written(_scored(texts, shared), "scored")
+    shared.destroy()
     added = _rare(scored, counted, model.parts).groupBy("run", "place").agg(F.sum("known").alias("known"), F.sum("more").alias("more"))
     found = scored.where("kind = 0").join(added, ["run", "place"], "left")
     return found.select(
