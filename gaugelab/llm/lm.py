@@ -2,22 +2,25 @@
 
 Training counts of words and word pairs are gathered exactly, in parts of bounded
 size: tasks send sorted runs, and each part adds up its own. A part then fills its
-segment of the filter: a count c becomes a level q = 1 + floor(log_B(c)), and the
-n-gram is entered once for each level up to q. The segments together, at most
-``MAX_FILTER_BYTES``, are broadcast. A worker reads a count back by probing level
-after level until one is missing.
+segment of the filter: a pair's count c becomes a level q = 1 + floor(log_B(c)), and
+the pair is entered once for each level up to q. A segment has ``BITS_PER_ENTRY``
+bits for each entry at least, so the filter grows with the corpus; it is never held
+in one place. A slice of documents sends each of its distinct pairs to the part that
+has the segment, which reads the count back by probing level after level until one
+is missing and answers with the level reached.
 
 The model interpolates the pair's relative frequency with the smoothed word
-frequency, both from such probes:
+frequency; pair counts come from such probes, word counts are exact and rounded to
+the same levels:
 
     p(w | v) = L * min(c(v,w), c(v)) / c(v) + (1 - L) * (c(w) + 1) / (N + V + 1)
 
 where L = LAMBDA, or 0 where v is unknown; the first word follows the end of a
 text. Pairs enter the filter from a count of ``PAIR_LEAST`` on.
 
-The base score uses exact word counts instead. The counts of the ``FREQUENT`` most
-frequent words at most are broadcast; all other words are looked up by a shuffle
-to the parts that hold their counts.
+The base score uses exact word counts as they are. The counts of the ``FREQUENT``
+most frequent words at most are broadcast; all other words are asked of the parts
+that hold their counts, together with the pairs.
 
 Cases: a null or empty text is one token, its end; a null id is never held out;
 without training rows every base is 0 (one chance in one); repeated documents
@@ -42,7 +45,6 @@ from gaugelab.storage import written
 LEVEL_BASE = 1.5
 PROBES = 3
 BITS_PER_ENTRY = 16
-MAX_FILTER_BYTES = 64 << 20
 FREQUENT = 1 << 20
 PAIR_LEAST = 2
 LAMBDA = 0.4
@@ -149,17 +151,13 @@ def _positions(keys: np.ndarray, level: np.ndarray, mask: np.ndarray | np.uint64
         h = h + step
 
 
-#: What is entered of a word and of a pair; both are known by part and their last 32 bits.
-def _word_keys(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & _LOW) * _U(2)
-
-
 def _pair_keys(hashes: np.ndarray) -> np.ndarray:
+    """What is entered of a pair, which is known by its part and its last 32 bits."""
     return (hashes & _LOW) * _U(2) + _U(1)
 
 
-def _segment(keys: np.ndarray, counts: np.ndarray, most_bits: int) -> np.ndarray:
-    """A part's segment of the filter, a power of two of bits."""
+def _segment(keys: np.ndarray, counts: np.ndarray, most_bits: int = 1 << 62) -> np.ndarray:
+    """A part's segment of the filter, a power of two of bits; by default as many as its entries ask for."""
     q = levels(counts) if len(counts) else np.zeros(0, np.int64)
     wanted = max(64, int(q.sum()) * BITS_PER_ENTRY)
     bits = min(1 << (wanted - 1).bit_length(), 1 << (max(64, most_bits).bit_length() - 1))
@@ -172,8 +170,7 @@ def _segment(keys: np.ndarray, counts: np.ndarray, most_bits: int) -> np.ndarray
 
 
 def _counted(runs: DataFrame, parts: int) -> DataFrame:
-    """Per part: exact word counts, packed and sorted, and the segment of the filter."""
-    most_bits = MAX_FILTER_BYTES * 8 // parts
+    """Per part: exact word counts, packed and sorted, the segment of the filter and how many entries it has."""
 
     def run(batches):
         for rows in tx.row_groups(batches, ["part"]):
@@ -184,13 +181,13 @@ def _counted(runs: DataFrame, parts: int) -> DataFrame:
             once, more = column("once", np.uint32), column("pairs", np.uint32)
             pairs, pair_counts = _added([*once, *more], [*(np.ones(len(o), np.int64) for o in once), *(c.astype(np.int64) for c in column("pair_counts", np.uint32))])
             pairs, pair_counts = pairs[pair_counts >= PAIR_LEAST].astype(_U), pair_counts[pair_counts >= PAIR_LEAST]
-            segment = _segment(np.concatenate([_word_keys(words), _pair_keys(pairs)]), np.concatenate([counts, pair_counts]), most_bits)
+            segment = _segment(_pair_keys(pairs), pair_counts)
             yield pa.RecordBatch.from_arrays(
-                [rows.column("part")[:1].combine_chunks(), pa.array([words.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()), pa.array([segment.tobytes()], pa.binary()), pa.array([len(words)], pa.int64()), pa.array([int(counts.sum())], pa.int64())],
-                ["part", "words", "counts", "segment", "n_words", "n_tokens"],
+                [rows.column("part")[:1].combine_chunks(), pa.array([words.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()), pa.array([segment.tobytes()], pa.binary()), pa.array([len(words)], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([int(levels(pair_counts).sum())], pa.int64())],
+                ["part", "words", "counts", "segment", "n_words", "n_tokens", "n_entries"],
             )
 
-    return runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "part int, words binary, counts binary, segment binary, n_words long, n_tokens long")
+    return runs.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "part int, words binary, counts binary, segment binary, n_words long, n_tokens long, n_entries long")
 
 
 def _frequent(counted: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +225,7 @@ def _frequent(counted: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """The filter by part, the frequent words, and the totals."""
+    """The segments of the filter that are at hand, the frequent words, and the totals."""
 
     parts: int
     bits: np.ndarray
@@ -241,6 +238,10 @@ class Model:
 
     def read(self, hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Counts by repeated probes: the value of the highest level up to which all are there."""
+        return LEVEL_VALUES[self.reached(hashes, keys)]
+
+    def reached(self, hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The highest level up to which all are there."""
         part = _part(hashes, self.parts)
         reached = np.zeros(len(keys), np.int64)
         going = np.arange(len(keys))
@@ -256,7 +257,7 @@ class Model:
             reached[going] = level
             if level >= len(LEVEL_VALUES) - 1:
                 break
-        return LEVEL_VALUES[reached]
+        return reached
 
     def exact(self, hashes: np.ndarray) -> np.ndarray:
         """Counts of frequent words, -1 for others."""
@@ -265,135 +266,169 @@ class Model:
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         return np.where(self.words[at] == hashes, self.counts[at], -1)
 
-    def log_probabilities(self, word: np.ndarray, before: np.ndarray) -> np.ndarray:
+    def log_probabilities(self, c_word: np.ndarray, c_before: np.ndarray, c_pair: np.ndarray) -> np.ndarray:
         """log10 p of each token after the one before it."""
-        known, inverse = np.unique(np.concatenate([word, before]), return_inverse=True)
-        single = self.read(known, _word_keys(known))
-        c_word, c_before = single[inverse[: len(word)]], single[inverse[len(word) :]]
-        pair, inverse = np.unique(pair_hashes(before, word), return_inverse=True)
-        c_pair = self.read(pair, _pair_keys(pair))[inverse]
         weight = np.where(c_before > 0, LAMBDA, 0.0)
         seen = np.minimum(c_pair, c_before) / np.maximum(c_before, 1)
         return np.log10(weight * seen + (1 - weight) * (c_word + 1) / (self.n + self.v + 1))
 
 
+_NO_WORDS, _NO_COUNTS = np.zeros(0, _U), np.zeros(0, np.int64)
+
+
+def _one_segment(segment: np.ndarray) -> Model:
+    return Model(1, segment, np.zeros(1, np.int64), np.array([len(segment) * 8 - 1], _U), _NO_WORDS, _NO_COUNTS, 0, 0)
+
+
 def held_out(id_column: str, folds: int = 7, fold: int = 2) -> Column:
     """Whether a document is held out: crc32 of its id as text, modulo ``folds``."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) % folds == fold
 
 
 def fit(train: DataFrame, text_column: str = "text") -> tuple[Model, DataFrame]:
-    """The model of all documents given, and the exact word counts by part."""
+    """The totals and frequent words of all documents given, and by part the exact word counts and the filter."""
     texts = train.select(F.col(text_column).alias("text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, math.ceil(size / PART_BYTES))
     counted = written(_counted(_gathered(texts, parts), parts), "counts")
     totals = counted.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    # Bounded by MAX_FILTER_BYTES in all, and fetched part by part.
-    sizes = np.full(parts, 8, np.int64)
-    for row in counted.select("part", F.length("segment").alias("size")).collect():
-        sizes[row.part] = row.size
-    bits, begin = np.zeros(int(sizes.sum()), np.uint8), np.cumsum(sizes) - sizes
-    for row in counted.select("part", "segment").toLocalIterator():
-        bits[begin[row.part] : begin[row.part] + sizes[row.part]] = np.frombuffer(row.segment, np.uint8)
     words, counts = _frequent(counted, FREQUENT)
-    model = Model(parts, bits, begin, (sizes * 8 - 1).astype(_U), words, counts, int(totals[0]), int(totals[1]))
-    return model, counted
+    return Model(parts, np.zeros(0, np.uint8), _NO_COUNTS, _NO_WORDS, words, counts, int(totals[0]), int(totals[1])), counted
 
 
-_SCORED = "kind int, run long, place int, doc_id {0}, held_out boolean, n_tokens long, n_known long, base double, score double, part int, words binary, places binary, times binary"
+def figures(counted: DataFrame) -> DataFrame:
+    """Entries of the filter, bits an entry, and the share of absent pairs that pass the first level."""
 
+    def run(batches):
+        for batch in batches:
+            for segment, n in zip(batch.column(0), batch.column(1)):
+                bits = np.frombuffer(segment.as_buffer(), np.uint8)
+                share = (np.bitwise_count(bits).sum() / (8 * len(bits))) ** PROBES
+                yield pa.RecordBatch.from_arrays([pa.array([n.as_py()], pa.int64()), pa.array([8 * len(bits)], pa.int64()), pa.array([float(share)])], ["entries", "bits", "share"])
+
+    # Parts get equal shares of the absent pairs.
+    by_part = counted.select("segment", "n_entries").mapInArrow(run, "entries long, bits long, share double")
+    return by_part.agg(F.sum("entries").alias("entries"), (F.sum("bits") / F.sum("entries")).alias("bits_an_entry"), F.avg("share").alias("false_hits"))
 
-def _scored(docs: DataFrame, shared: Broadcast) -> DataFrame:
-    """Kind 0: a document with what the frequent words give. Kind 1: the other words of a slice, by part."""
-    names = [c.split()[0] for c in _SCORED.format("x").split(", ")]
-    id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def rows(batch, kind, n, **columns):
-        fields = {f.name: f.type for f in batch.schema}
-        types = {"kind": pa.int32(), "run": pa.int64(), "place": pa.int32(), "doc_id": fields["doc_id"], "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "part": pa.int32()}
-        columns["kind"] = pa.array(np.full(n, kind, np.int32))
-        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, types.get(c, pa.binary())) for c in names], names)
+def _sliced(texts: DataFrame) -> DataFrame:
+    """The documents in slices, each packed and with a name of its own; to be written before anything refers to it."""
 
     def run(batches):
-        m = shared.value
         for batch in batches:
             for piece in tx.slices(batch, "text"):
-                n = piece.num_rows
-                word, text, before = tokens(piece.column(2))
-                known, inverse = np.unique(word, return_inverse=True)
-                exact = m.exact(known)
-                value = np.where(exact >= 0, np.log10(np.maximum(exact, 0) + 1.0), 0.0)
-                sizes = np.bincount(text, minlength=n)
-                base = np.bincount(text, weights=value[inverse], minlength=n) - sizes * math.log10(m.n + m.v + 1)
-                score = np.bincount(text, weights=m.log_probabilities(word, before), minlength=n)
-                n_known = np.bincount(text, weights=(exact > 0)[inverse], minlength=n).astype(np.int64)
-                # Names this slice among all; it is written before anything refers to it.
-                run_id = int.from_bytes(os.urandom(8), "big") >> 1
-                runs = pa.array(np.full(n, run_id))
-                yield rows(piece, 0, n, run=runs, place=pa.array(np.arange(n, dtype=np.int32)), doc_id=piece.column(0), held_out=piece.column(1), n_tokens=pa.array(sizes.astype(np.int64)), n_known=pa.array(n_known), base=pa.array(base), score=pa.array(score))
-                rare = (exact < 0)[inverse]
-                order = np.lexsort((text[rare], word[rare]))
-                w, t = word[rare][order], text[rare][order]
-                if not len(w):
-                    continue
-                first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (t[1:] != t[:-1])]))
-                times = np.diff(np.append(first, len(w)))
-                w, t = w[first], t[first]
-                part = _part(w, m.parts)
-                cut = list(_pieces(part))
-                yield rows(
-                    piece, 1, len(cut), run=pa.array(np.full(len(cut), run_id)), part=pa.array(part[[a for a, _ in cut]].astype(np.int32)),
-                    words=pa.array([w[a:b].tobytes() for a, b in cut], pa.binary()), places=pa.array([t[a:b].astype(np.int32).tobytes() for a, b in cut], pa.binary()), times=pa.array([times[a:b].astype(np.int32).tobytes() for a, b in cut], pa.binary()),
-                )
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(piece)
+                name = int.from_bytes(os.urandom(8), "big") >> 1
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["run", "docs"])
 
-    return docs.mapInArrow(run, _SCORED.format(id_type))
+    return texts.mapInArrow(run, "run long, docs binary")
 
 
-def _rare(scored: DataFrame, counted: DataFrame, parts: int) -> DataFrame:
-    """run, place, known, base: what the words that are not frequent add to each document."""
-    asked = scored.where("kind = 1").select("part", F.lit(1).alias("order"), "run", "words", "places", "times")
-    have = counted.select("part", F.lit(0).alias("order"), F.lit(None).cast("long").alias("run"), "words", F.lit(None).cast("binary").alias("places"), F.col("counts").alias("times"))
-    both = have.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", "order")
+def _opened(docs: pa.BinaryScalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(docs.as_buffer()).read_next_batch()
+
+
+def _asked(slices: DataFrame, shared: Broadcast) -> DataFrame:
+    """Per slice and part: the distinct words that are not frequent, and the last 32 bits of the distinct pairs, both by hash."""
 
     def run(batches):
-        part, words, counts = None, np.zeros(0, _U), np.zeros(0, np.int64)
+        m = shared.value
         for batch in batches:
-            for p, order, run_id, w, place, time in zip(*(batch.column(i) for i in range(6))):
+            for name, docs in zip(batch.column(0), batch.column(1)):
+                word, _, before = tokens(_opened(docs).column(2))
+                w, p = np.unique(word), np.unique(pair_hashes(before, word))
+                w = w[m.exact(w) < 0]
+                found: dict[int, list[bytes]] = {}
+                for i, hashes, kind in ((0, w, _U), (1, p, np.uint32)):
+                    part = _part(hashes, m.parts)
+                    for a, b in _pieces(part):
+                        found.setdefault(int(part[a]), [b""] * 2)[i] = (hashes[a:b] if kind is _U else hashes[a:b] & _LOW).astype(kind).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), name.as_py())), pa.array(list(found), pa.int32()), *(pa.array([v[i] for v in found.values()], pa.binary()) for i in range(2))], ["run", "part", "words", "pairs"])
+
+    return slices.mapInArrow(run, "run long, part int, words binary, pairs binary")
+
+
+def _answered(asked: DataFrame, counted: DataFrame, parts: int) -> DataFrame:
+    """Per slice and part: the exact counts of the words and the levels of the pairs, in the order in which they were asked."""
+    nothing = F.lit(None).cast("binary")
+    have = counted.select("part", F.lit(0).alias("order"), F.lit(None).cast("long").alias("run"), "words", F.col("segment").alias("pairs"), "counts")
+    asks = asked.select("part", F.lit(1).alias("order"), "run", "words", "pairs", nothing.alias("counts"))
+    both = have.unionByName(asks).repartition(parts, "part").sortWithinPartitions("part", "order")
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["run", "part", "counts", "levels"])
+
+    def run(batches):
+        part, words, counts, held = None, _NO_WORDS, _NO_COUNTS, None
+        for batch in batches:
+            rows = []
+            for p, order, name, w, asked_pairs, c in zip(*(batch.column(i) for i in range(6))):
                 if p.as_py() != part:
-                    part, words, counts = p.as_py(), np.zeros(0, _U), np.zeros(0, np.int64)
+                    part, words, counts, held = p.as_py(), _NO_WORDS, _NO_COUNTS, None
+                w = np.frombuffer(w.as_buffer(), _U)
                 if order.as_py() == 0:
-                    words, counts = np.frombuffer(w.as_buffer(), _U), np.frombuffer(time.as_buffer(), np.int64)
-                    continue
-                w, place, time = np.frombuffer(w.as_buffer(), _U), np.frombuffer(place.as_buffer(), np.int32), np.frombuffer(time.as_buffer(), np.int32)
-                if not len(words):
+                    words, counts = w, np.frombuffer(c.as_buffer(), np.int64)
+                    held = _one_segment(np.frombuffer(asked_pairs.as_buffer(), np.uint8))
                     continue
-                at = np.minimum(np.searchsorted(words, w), len(words) - 1)
-                c = np.where(words[at] == w, counts[at], 0)
-                known = np.bincount(place, weights=time * (c > 0)).astype(np.int64)
-                base = np.bincount(place, weights=time * np.log10(c + 1.0))
-                hit = np.flatnonzero(known)
-                if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), run_id.as_py())), pa.array(hit.astype(np.int32)), pa.array(known[hit]), pa.array(base[hit])], ["run", "place", "known", "more"])
+                pairs = np.frombuffer(asked_pairs.as_buffer(), np.uint32).astype(_U)
+                known = np.zeros(len(w), np.int64)
+                if len(words):
+                    at = np.minimum(np.searchsorted(words, w), len(words) - 1)
+                    known = np.where(words[at] == w, counts[at], 0)
+                level = held.reached(pairs, _pair_keys(pairs)) if held else np.zeros(len(pairs), np.int64)
+                rows.append((name.as_py(), part, known.tobytes(), level.astype(np.uint8).tobytes()))
+                if len(rows) == 512:
+                    yield batch_of(rows)
+                    rows = []
+            if rows:
+                yield batch_of(rows)
+
+    return both.mapInArrow(run, "run long, part int, counts binary, levels binary")
+
+
+def _scored(slices: DataFrame, answers: DataFrame, shared: Broadcast, parts: int, id_type: str) -> DataFrame:
+    """The documents of each slice, scored with the answers of all parts."""
+    nothing = F.lit(None).cast("binary")
+    docs = slices.select("run", F.lit(-1).alias("part"), "docs", nothing.alias("counts"), nothing.alias("levels"))
+    both = docs.unionByName(answers.select("run", "part", nothing.alias("docs"), "counts", "levels")).repartition(parts, "run").sortWithinPartitions("run", "part")
+
+    def run(batches):
+        m = shared.value
+        for rows in tx.row_groups(batches, ["run"]):
+            # Parts ascend with the hashes, so the answers in a row are by hash again.
+            def answer(name, kind):
+                return np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in rows.column(name).slice(1)])
+
+            piece = _opened(rows.column("docs")[0])
+            n = piece.num_rows
+            word, text, before = tokens(piece.column(2))
+            known, inverse = np.unique(word, return_inverse=True)
+            exact = m.exact(known)
+            exact[exact < 0] = answer("counts", np.int64)
+            sizes = np.bincount(text, minlength=n)
+            base = np.bincount(text, weights=np.log10(exact + 1.0)[inverse], minlength=n) - sizes * math.log10(m.n + m.v + 1)
+            n_known = np.bincount(text, weights=(exact > 0)[inverse], minlength=n).astype(np.int64)
+            single = np.where(exact > 0, LEVEL_VALUES[levels(np.maximum(exact, 1))], 0.0)
+            c_word = single[inverse]
+            c_before = np.append(single[np.searchsorted(known, END)], c_word[:-1])
+            _, inverse = np.unique(pair_hashes(before, word), return_inverse=True)
+            c_pair = LEVEL_VALUES[answer("levels", np.uint8)][inverse]
+            score = np.bincount(text, weights=m.log_probabilities(c_word, c_before, c_pair), minlength=n)
+            yield pa.RecordBatch.from_arrays(
+                [piece.column(0), piece.column(1), pa.array(sizes.astype(np.int64)), pa.array(n_known), pa.array(np.full(n, m.n, np.int64)), pa.array(base), pa.array(score)],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
-    return both.mapInArrow(run, "run long, place int, known long, more double")
+    return both.mapInArrow(run, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document, with the model learnt from the documents that are not held out."""
     texts = docs.select(F.col(id_column).alias("doc_id"), held_out(id_column).alias("held_out"), F.col(text_column).alias("text"))
     model, counted = fit(texts.where("not held_out"))
+    slices = written(_sliced(texts), "slices")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = written(_scored(texts, shared), "scored")
-    shared.destroy()
-    added = _rare(scored, counted, model.parts).groupBy("run", "place").agg(F.sum("known").alias("known"), F.sum("more").alias("more"))
-    found = scored.where("kind = 0").join(added, ["run", "place"], "left")
-    return found.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
-    )
+    answers = _answered(_asked(slices, shared), counted, model.parts)
+    return _scored(slices, answers, shared, model.parts, texts.schema["doc_id"].dataType.simpleString())

@@ -87,3 +87,46 @@ def test_tokens():
     word, text, before = lm.tokens(pa.array(["a b", None, "", "A"]))
     assert text.tolist() == [0, 0, 0, 1, 2, 3, 3]
     assert word[0] == word[5] == before[1] and before[0] == lm.END and (word[[2, 3, 4, 6]] == lm.END).all()
+
+
+@pytest.mark.parametrize("docs", [2000, 16000])
+def test_filter_grows_with_the_entries(spark, monkeypatch, docs):
+    """Bits an entry and false hits are the same at each size, down to parts far below what once was the bound."""
+    monkeypatch.setattr(lm, "PART_BYTES", 100_000)
+    monkeypatch.setattr(lm, "MAX_FILTER_BYTES", 50_000, raising=False)
+    draw = np.random.default_rng(docs)
+    rows = [(i, " ".join(f"w{k}" for k in draw.integers(0, 3000, 50))) for i in range(docs)]
+    _, counted = lm.fit(spark.createDataFrame(rows * 2, "doc_id long, text string"))
+    read = [r for r in counted.select("segment", "n_entries").collect()]
+    for r in read:
+        assert 8 * len(r.segment) >= lm.BITS_PER_ENTRY * r.n_entries
+    found = lm.figures(counted).first()
+    assert found.bits_an_entry >= lm.BITS_PER_ENTRY and found.false_hits < 0.006
+
+
+def test_pair_counts_reach_the_score(spark, monkeypatch):
+    """Scores from counts by brute force, with many parts and more slices than one."""
+    monkeypatch.setattr(lm, "PART_BYTES", 20_000)
+    monkeypatch.setattr(lm, "FREQUENT", 100)
+    draw = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{k}" for k in draw.zipf(1.3, 60) % 4000)) for i in range(3000)]
+    singles, pairs, n = Counter(), Counter(), 0
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            tokens = [None, *split(t), None]
+            singles.update(tokens[1:])
+            pairs.update(zip(tokens, tokens[1:]))
+            n += len(tokens) - 1
+    level = lambda c: lm.LEVEL_VALUES[int(lm.levels(np.array([c]))[0])] if c else 0.0
+    want = {}
+    for i, t in rows:
+        tokens, total = [None, *split(t), None], 0.0
+        for v, w in zip(tokens, tokens[1:]):
+            c_v, c = level(singles[v]), pairs[v, w]
+            weight = lm.LAMBDA if c_v else 0.0
+            seen = min(level(c if c >= lm.PAIR_LEAST else 0), c_v) / max(c_v, 1)
+            total += math.log10(weight * seen + (1 - weight) * (level(singles[w]) + 1) / (n + len(singles) + 1))
+        want[i] = total
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    off = np.array([abs(got[i] - want[i]) for i, _ in rows])
+    assert np.median(off) < 0.05 and off.mean() < 0.2 and all(got[i] >= want[i] - 1e-6 for i, _ in rows)
