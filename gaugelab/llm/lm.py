@@ -16,7 +16,7 @@ the same levels:
     p(w | v) = L * min(c(v,w), c(v)) / c(v) + (1 - L) * (c(w) + 1) / (N + V + 1)
 
 where L = LAMBDA, or 0 where v is unknown; the first word follows the end of a
-text. Pairs enter the filter from a count of ``PAIR_LEAST`` on.
+text. Pairs enter the filter from a count of ``PAIR_LEAST`` on, that is, all of them.
 
 The base score uses exact word counts as they are. The counts of the ``FREQUENT``
 most frequent words at most are broadcast; all other words are asked of the parts
@@ -46,7 +46,7 @@ LEVEL_BASE = 1.5
 PROBES = 3
 BITS_PER_ENTRY = 16
 FREQUENT = 1 << 20
-PAIR_LEAST = 2
+PAIR_LEAST = 1
 LAMBDA = 0.4
 PART_BYTES = 16 << 20
 

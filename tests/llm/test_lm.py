@@ -130,3 +130,16 @@ def test_pair_counts_reach_the_score(spark, monkeypatch):
     got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
     off = np.array([abs(got[i] - want[i]) for i, _ in rows])
     assert np.median(off) < 0.05 and off.mean() < 0.2 and all(got[i] >= want[i] - 1e-6 for i, _ in rows)
+
+
+def test_pairs_seen_once_count(spark):
+    """A text of pairs that each occur once in training scores higher than the same words in an order never seen."""
+    words = [f"w{k}" for k in range(400)]
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    train = next(i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2)
+    rows = [(train, " ".join(words)), (held[0], " ".join(words[100:300])), (held[1], " ".join(words[100:300][::-1]))]
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # Each word and each pair of the training text has a count of 1.
+    seen, unseen = (math.log10(x + (1 - lm.LAMBDA) * 2 / (401 + 401 + 1)) for x in (lm.LAMBDA, 0))
+    assert got[held[0]] == pytest.approx(199 * seen + 2 * unseen, abs=0.1)
+    assert got[held[1]] < got[held[0]] - 100
