@@ -156,20 +156,26 @@ _BRACKET_AT = re.compile(rf"[ \t]*{_OPEN}[ \t]*(?:{_either(AT_WORDS)}|@)[ \t]*{_
 _BRACKET_DOT = re.compile(rf"[ \t]*{_OPEN}[ \t]*(?:{_either(DOT_WORDS)}|\.)[ \t]*{_CLOSE}[ \t]*", re.I)
 _LABEL = r"[A-Za-z0-9-]+"
 _DOTTED = rf"(?:[ \t]+(?:{_either(DOT_WORDS)})[ \t]+|[ \t]*\.[ \t]*)"
-# An address in words: the domain ends in a spelled dot and a short label, or the at is spelled before a plain domain with a known ending.
+# An address in words: the domain ends in a spelled dot and a short label, or the at is spelled before a plain domain.
 _WORD_ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:[ \t]+(?:{_either(DOT_WORDS)})[ \t]+[A-Za-z0-9_%+-]+)*(?:[ \t]+(?:{_either(AT_WORDS)})[ \t]+|[ \t]*@[ \t]*){_LABEL}(?:{_DOTTED}{_LABEL})*[ \t]+(?:{_either(DOT_WORDS)})[ \t]+[A-Za-z]{{2,8}}\b", re.I)
 _KNOWN_ENDINGS = "com org net edu gov info io de fr es uk eu example test invalid"
-_PLAIN_DOMAIN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+[ \t]+(?:{_either(AT_WORDS)})[ \t]+{_LABEL}(?:\.{_LABEL})*\.(?:{_either(_KNOWN_ENDINGS)})\b(?![\w-])", re.I)
+#: Endings of file names and times of day, which follow an "at" in plain prose.
+_NOT_ENDINGS = "am pm html htm php asp aspx jsp js ts css py java cpp cs rb rs sh bat exe dll txt md csv tsv json xml yaml yml sql log ini cfg pdf doc docx xls xlsx ppt pptx rtf jpg jpeg png gif svg bmp mp mpg mpeg avi mov wav zip tar gz rar bak tmp"
+# Any other label of 2 to 8 letters is an ending if it is in small letters, or in capitals behind a capital. A capital first letter begins a sentence.
+_SMALL_ENDING = rf"(?-i:(?!(?:{_either(_NOT_ENDINGS)})\b)[a-z]{{2,8}})"
+_ENDING = rf"(?:{_either(_KNOWN_ENDINGS)}|{_SMALL_ENDING}|(?-i:(?<=[A-Z]\.)[A-Z]{{2,8}}))"
+_PLAIN_DOMAIN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+[ \t]+(?:{_either(AT_WORDS)})[ \t]+{_LABEL}(?:\.{_LABEL})*\.{_ENDING}\b(?![\w-])", re.I)
 _IN_ADDRESS = re.compile(rf"[ \t]+(?:{_either(AT_WORDS)})[ \t]+|[ \t]*@[ \t]*|[ \t]+(?:{_either(DOT_WORDS)})[ \t]+", re.I)
 # The same with underscores or hyphens for blanks, with entities for signs, and with blanks around both signs.
 _JOINED_ADDRESS = re.compile(rf"(?<![A-Za-z0-9])[A-Za-z0-9.%+]+(?P<gap>[_-])(?:{_either(AT_WORDS)})(?P=gap)[A-Za-z0-9]+(?:(?P=gap)(?:{_either(DOT_WORDS)})(?P=gap)[A-Za-z0-9]+)+", re.I)
 _IN_JOINED = re.compile(rf"([_-])({_either(AT_WORDS, DOT_WORDS)})\1", re.I)
 _ENTITY_AT = re.compile(r"&(?:#0*64|#x0*40|commat);", re.I)
 _ENTITY_DOT = re.compile(r"&(?:#0*46|#x0*2e|period);", re.I)
-_SPACED_DOT = re.compile(rf"(?<=@)(?:{_LABEL}[ \t]+\.[ \t]+)+(?=(?:com|org|net|edu|gov)\b)", re.I)
+_SPACED_DOT = re.compile(rf"(?<=@)(?:{_LABEL}[ \t]+\.[ \t]+)+(?=(?:com|org|net|edu|gov|{_SMALL_ENDING}|(?-i:[A-Z]{{2,8}}))\b)", re.I)
 _BLANK_DOT = re.compile(r"[ \t]+\.[ \t]+")
 _SPACED_AT = re.compile(rf"(?<=[A-Za-z0-9])(?:[ \t]+@[ \t]*|@[ \t]+)(?={_LABEL}[ \t]*\.)")
-_LETTER_DIGITS = re.compile(r"(?<![A-Za-z0-9])(?=[0-9OoIl|.-]*[0-9])[0-9OoIl|]+(?:[ .-][0-9OoIl|]+)*(?![A-Za-z0-9])")
+# A bar with a blank before and after is the rule of a table, not a digit.
+_LETTER_DIGITS = re.compile(r"(?<![A-Za-z0-9])(?=[0-9OoIl|.-]*[0-9])(?!\| )[0-9OoIl|]+(?:(?: (?!\|(?![0-9OoIl|.-]))|[.-])[0-9OoIl|]+)*(?![A-Za-z0-9])")
 
 Piece = tuple[str, int, int]
 
@@ -296,7 +302,7 @@ def _word_table(*lines: str) -> np.ndarray:
 
 
 _SIGN_WORDS = _word_table(*DIGIT_WORDS.values(), DOT_WORDS, PLUS_WORDS, DASH_WORDS)
-_AT, _DOT, _ENDING = _word_table(AT_WORDS), _word_table(DOT_WORDS), _word_table(_KNOWN_ENDINGS)
+_AT, _DOT = _word_table(AT_WORDS), _word_table(DOT_WORDS)
 
 
 def _bytes(which) -> np.ndarray:
@@ -307,6 +313,8 @@ def _bytes(which) -> np.ndarray:
 
 _DIGIT_BYTES, _OPEN_BYTES, _LIKE_DIGIT = _bytes(range(48, 58)), _bytes(b"[({<"), _bytes(b"OoIl|")
 _ENTITY_START = _bytes(b"#cCpP")
+_LETTER_OR_DIGIT = _bytes(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+_LABEL_BYTES, _BETWEEN_GROUPS = _LETTER_OR_DIGIT | _bytes(b"-"), _bytes(b" .-")
 _FOREIGN, _SIGN_AFTER_C2 = _bytes(range(0xCA, 0xF8)), _bytes([0xA0, 0xAD, 0xB2, 0xB3, 0xB9])
 
 
@@ -327,23 +335,44 @@ def hints(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     like = _LIKE_DIGIT[data]
     marks = _OPEN_BYTES[data] | _FOREIGN[data] | ((data == 0xC2) & _SIGN_AFTER_C2[after])
     marks[:-1] |= (digit[:-1] & like[1:]) | (like[:-1] & digit[1:])
+    # Groups of digits and of letters used as digits, with one sign between; a group ends where other letters or digits do not go on.
+    inner = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
+    other = _LETTER_OR_DIGIT[data] & ~digit & ~like
+    goes_on, went_on = np.append(other[1:], False), np.insert(other[:-1], 0, False)
+    goes_on[inner - 1] = went_on[inner] = False
+    between = _BETWEEN_GROUPS[data[1:-1]]
+    marks[1:-1] |= between & ((digit[:-2] & (like & ~goes_on)[2:]) | ((like & ~went_on)[:-2] & digit[2:]))
     marks |= (data == 38) & _ENTITY_START[after]
+    # Dotless and dotted i and long s, which are i and s in any case.
+    marks |= ((data == 0xC4) & ((after == 0xB0) | (after == 0xB1))) | ((data == 0xC5) & (after == 0xBF))
     blank = (data == 32) | (data == 9)
     marks[:-1] |= (at_sign[:-1] & blank[1:]) | (blank[:-1] & at_sign[1:])
     disguised = _per_text(marks, offsets)
+    spaced_dot = np.zeros(len(data), bool)
+    spaced_dot[1:-1] = blank[:-2] & (data[1:-1] == 46) & blank[2:]
+    disguised |= _per_text(at_sign, offsets) & _per_text(spaced_dot, offsets)
+    # Latin-1 signs end a word as ASCII signs do.
+    sign_of_two = (data == 0xC2) | ((data == 0xC3) & ((after == 0x97) | (after == 0xB7)))
+    if sign_of_two.any():
+        data = data.copy()
+        at = np.flatnonzero(sign_of_two)
+        data[at] = data[at + 1] = 32
     starts, ends, rows = tx.words(data, offsets, tx.PLAIN)
     if len(starts):
         slot = tx.word_hashes(data, starts, ends) >> np.uint64(48)
         sign, at, dot = _SIGN_WORDS[slot], _AT[slot], _DOT[slot]
-        number = digit[starts]
+        number, numbered = digit[starts], digit[ends - 1]
         same = rows[1:] == rows[:-1]
-        pair = same & ((sign[:-1] & (sign | number)[1:]) | (number[:-1] & sign[1:]))
+        pair = same & ((sign[:-1] & (sign | number)[1:]) | (numbered[:-1] & sign[1:]))
         disguised[rows[:-1][pair]] = True
-        ending = np.flatnonzero(_ENDING[slot] & (starts > 0) & (data[np.maximum(starts - 1, 0)] == 46))
-        for back in range(2, 12):  # labels of a domain between the at and the ending
-            near = ending[ending >= back]
-            near = near[at[near - back] & (rows[near - back] == rows[near])]
-            disguised[rows[near]] = True
+        # A spelled at, blanks, a label, a dot and a label.
+        stops = np.append(np.flatnonzero(~_LABEL_BYTES[data]), len(data))
+        begins = np.append(np.flatnonzero(~blank), len(data))
+        label = begins[np.searchsorted(begins, ends[at])]
+        stop = stops[np.searchsorted(stops, label)]
+        more = np.append(data, [0, 0]).astype(np.uint8)
+        domain = (stop > label) & (more[stop] == 46) & _LABEL_BYTES[more[stop + 1]]
+        disguised[rows[at][domain]] = True
         has_at = _per_text(at_sign, offsets)
         has_at[rows[at]] = True
         has_dot = np.zeros(n, bool)

@@ -106,3 +106,23 @@ def test_edge_cases(spark):
     assert back.columns == docs.columns
     assert [r.text for r in back.collect()] == [None, "", "[EMAIL]", "[EMAIL]", "[EMAIL] " * 20000]
     assert pii.report(docs.limit(0)).count() == 0
+
+
+def test_no_span_without_hint_between_groups_and_signs():
+    lost = ["192.168.O.1", "4111-1111-llll-1111", "+41 44 OOO 12 34", "joe@mail . com", "joe at firma.ch", "joe @ firma . ch", "joe at a-b-c-d-e-f-g-h-i-j-k-l.com", "«joe at firma.com»", "x O.1.1.1"]
+    for text, (_, more) in zip(lost, pii.spans(pa.array(lost))):
+        assert any(more.values()) and more == pii.find(text)[1], text
+    draw = random.Random(10)
+    parts = ["O", "l", "I|", "o", "oO", "1", "12", "4111", "192", "168", "+41", "44", " ", " ", ".", "-", "f", "of", "a", " at ", "«", "»", "é", "joe", "firma", ".ch", " . ", "@", "one", "ı", " vier "]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(1, 14))) for _ in range(40000)]
+    for text, found in zip(texts, pii.spans(pa.array(texts))):
+        assert found == pii.find(text), repr(text)
+
+
+def test_endings_of_domains():
+    assert only("x joe at firma.ch y") == [("email", "joe at firma.ch")]
+    assert only("x JOE AT FIRMA.NL y") == [("email", "JOE AT FIRMA.NL")]
+    assert only("x joe@mail . com y") == [("email", "joe@mail . com")]
+    assert only("x joe @ firma . studio y") == [("email", "joe @ firma . studio")]
+    for text in ["We met at noon.Then we left.", "look at index.html and at Node.js", "open at 10.am or at 5.pm", "we looked at noon.NATO came", "see at home. then go", "x @ home . Then we", "it is at 3.5 or at a.b", "a | 3963522770391943 | b"]:
+        assert only(text) == [], text
