@@ -1,7 +1,6 @@
 """Training, evaluation, attribution, tuning and cost queries.
 
-Forests and boosted trees are smaller than the presets, so that every query ends
-in reasonable time on one machine; the rows are always all rows.
+All models at their presets, with all folds, trials, sizes and repeats, on all rows.
 """
 
 from __future__ import annotations
@@ -10,7 +9,6 @@ from pyspark.sql import functions as F
 
 from gaugelab.catalog.base import SENSORS, duck_word, query, scored
 from gaugelab.catalog.scoring import _METRICS, _SPLIT, _metric_sql
-from gaugelab.fixed_values import SEARCH_SPACES
 from gaugelab.fixed_values import SENSORS as SENSOR_NAMES
 from gaugelab.models import zoo
 from gaugelab.operators import attribution, compare, cost, evaluate, metrics, split, tuning
@@ -18,16 +16,6 @@ from gaugelab.operators.features import fit_preparation
 from gaugelab.plans.bindings import score_all, sensors, table
 from gaugelab.storage import run_folder, written
 
-SMALL: dict[str, dict] = {
-    "Random Forest": {"trees": 20, "max_depth": 10},
-    "Extra Trees": {"trees": 20, "max_depth": 10},
-    "Gradient Boosting": {"rounds": 15},
-    "XGBoost": {"rounds": 15},
-    "LightGBM": {"rounds": 15},
-    "CatBoost": {"rounds": 15},
-}
-
-
 def _parts(spark, sf):
     rows = split.with_split(sensors(spark, sf)).select("id", "Fruit", *SENSOR_NAMES, "y", "split")
     return rows.where("split = 'train'"), rows.where("split = 'test'")
@@ -44,7 +32,7 @@ def _model_query(name: str):
     @query("model_" + name.lower().replace(" ", "_"), f"WITH {_SPLIT} SELECT '{name}' AS model, count(*) AS n, true AS scores_valid, true AS f1_reached FROM parts WHERE split = 'test'")
     def _(spark, sf):
         train, test = _parts(spark, sf)
-        scored_rows = written(evaluate.scored_rows(zoo.fit_model(name, train, **SMALL.get(name, {})), test, name), "scored")
+        scored_rows = written(evaluate.scored_rows(zoo.fit_model(name, train), test, name), "scored")
         proba = F.col("y_proba").between(0, 1) if zoo.has_probability(name) else F.col("y_proba").isNull()
         valid = proba & F.col("y_score").isNotNull() & ~F.isnan("y_score") & F.col("y_pred").isin(0, 1)
         checks = scored_rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.every(F.coalesce(valid, F.lit(False))).alias("scores_valid"))
@@ -97,61 +85,49 @@ def _(spark, sf):
     return zoo.fit_model("KNN", train).transform(test).select("id", "y", "y_pred", "y_proba")
 
 
-CV_MODELS = ["Logistic Regression", "Ridge Classifier", "GaussianNB", "Decision Tree"]
-
-
 @query("cross_validate_models")
 def _(spark, sf):
-    return evaluate.cross_validate(sensors(spark, sf), CV_MODELS, settings=SMALL)
+    return evaluate.cross_validate(sensors(spark, sf))
 
 
 @query("evaluate_on_test")
 def _(spark, sf):
     train, test = _parts(spark, sf)
-    results, _, _ = evaluate.evaluate_on_test(train, test, [*CV_MODELS, "Gradient Boosting"], settings=SMALL)
+    results, _, _ = evaluate.evaluate_on_test(train, test)
     return results
 
 
 @query("learning_curve")
 def _(spark, sf):
-    return evaluate.learning_curve(sensors(spark, sf), "GaussianNB", steps=4, folds=3)
+    return evaluate.learning_curve(sensors(spark, sf), "GaussianNB")
 
 
 @query("native_importance")
 def _(spark, sf):
     train, _ = _parts(spark, sf)
-    return zoo.native_importance(zoo.fit_model("Random Forest", train, **SMALL["Random Forest"]))
+    return zoo.native_importance(zoo.fit_model("Random Forest", train))
 
 
 @query("recursive_elimination")
 def _(spark, sf):
-    return attribution.recursive_elimination(sensors(spark, sf), folds=2, settings={"trees": 5, "max_depth": 6})
+    return attribution.recursive_elimination(sensors(spark, sf))
 
 
 @query("subset_impact")
 def _(spark, sf):
-    return attribution.subset_impact(sensors(spark, sf), folds=2, settings={"trees": 5, "max_depth": 8})
-
-
-# Ranges of a few rounds, as one fit in the fixed ranges takes minutes here; the search itself is the same.
-NARROW_SPACES = {
-    "Random Forest": SEARCH_SPACES["Random Forest"] | {"n_estimators": ("int", 4, 12, 2), "max_depth": ("int", 3, 8, 1)},
-    "XGBoost": SEARCH_SPACES["XGBoost"] | {"n_estimators": ("int", 4, 10, 2), "max_depth": ("int", 2, 6, 1)},
-    "LightGBM": SEARCH_SPACES["LightGBM"] | {"n_estimators": ("int", 4, 10, 2), "max_depth": ("int", 3, 6, 1)},
-    "CatBoost": SEARCH_SPACES["CatBoost"] | {"iterations": ("int", 4, 10, 2), "depth": ("int", 3, 6, 1)},
-}
+    return attribution.subset_impact(sensors(spark, sf))
 
 
 @query("tuning_search")
 def _(spark, sf):
-    return tuning.best_trials(tuning.search(sensors(spark, sf), trials=2, folds=2, spaces=NARROW_SPACES))
+    return tuning.best_trials(tuning.search(sensors(spark, sf), trials=30))
 
 
 @query("cost_profile")
 def _(spark, sf):
     train, test = _parts(spark, sf)
     folder = run_folder(spark, "models")
-    return compare.deployment_view(cost.profile_models(train, test, folder, ["GaussianNB", "Ridge Classifier", "Decision Tree"], repeats=2, settings=SMALL))
+    return compare.deployment_view(cost.profile_models(train, test, folder))
 
 
 @query(
@@ -269,8 +245,8 @@ def _(spark, sf):
 @query("explain_forest")
 def _(spark, sf):
     train, test = _parts(spark, sf)
-    fitted = zoo.fit_model("Random Forest", train, trees=10, max_depth=6)
-    return attribution.attribution_ranking(attribution.explain_model(train, test, fitted, rows=50, background=20))
+    fitted = zoo.fit_model("Random Forest", train)
+    return attribution.attribution_ranking(attribution.explain_model(train, test, fitted))
 
 
 @query("robustness_of_models")
@@ -279,7 +255,7 @@ def _(spark, sf):
 
     train, test = _parts(spark, sf)
     preparation = fit_preparation(train, zoo.FEATURES)
-    fitted = {n: zoo.fit_model(n, train, preparation=preparation, **SMALL.get(n, {})) for n in ("Logistic Regression", "Decision Tree", "GaussianNB")}
+    fitted = {n: zoo.fit_model(n, train, preparation=preparation) for n in zoo.ordered_model_names()}
 
     def score(df):
         return evaluate.union_all([m.transform(df).withColumn("model", F.lit(n)) for n, m in fitted.items()])

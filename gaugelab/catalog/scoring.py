@@ -524,7 +524,7 @@ def _(spark, sf):
 
 @query("rule_fidelity")
 def _(spark, sf):
-    return rules.rule_fidelity(split.with_block_folds(sensors(spark, sf)), depths=[1, 2, 3, 4, 5, 6])
+    return rules.rule_fidelity(split.with_block_folds(sensors(spark, sf)))
 
 
 _RULE_READINGS = f"""WITH {SENSORS}, tr AS (SELECT * FROM ({_threshold_sql(SENSORS, 'sensors')})),
