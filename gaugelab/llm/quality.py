@@ -8,7 +8,8 @@ probability by logistic regression on further labelled documents.
 
 Fitting takes a bounded sample: at most ``per_class`` documents of each label for
 the dictionaries and as many for the calibration, the first by a hash of their
-id, of at most ``max_bytes`` bytes each. Scoring covers every text in full.
+id, of at most ``max_bytes`` bytes each. The calibration gives the labels the shares
+that they have among all labelled documents. Scoring covers every text in full.
 
 Cases: null and empty texts are scored as texts of no bytes; a null label does
 not count and of contradicting labels the higher does; a null id is never held
@@ -36,8 +37,6 @@ DICTIONARY_BYTES = 112_640
 LEVEL = 3
 CHUNK = 4096
 SAMPLE_PIECE = 1024
-#: Share of good documents that the calibration assumes, whatever the shares in the sample.
-GOOD_SHARE = 0.85
 CUT = 0.7
 
 
@@ -99,10 +98,10 @@ def _squares(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, *[x[:, i : i + 1] * x[:, j : j + 1] for i in range(k) for j in range(i + 1)]], axis=1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> np.ndarray:
-    """Weights of a ridge-penalised logistic regression, classes weighted to GOOD_SHARE."""
+def _logistic(x: np.ndarray, y: np.ndarray, share: float, rounds: int = 40) -> np.ndarray:
+    """Weights of a ridge-penalised logistic regression, classes weighted to a share of ones."""
     a = np.c_[np.ones(len(x)), x]
-    weight = np.where(y == 1, GOOD_SHARE / y.mean(), (1 - GOOD_SHARE) / (1 - y.mean()))
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     w = np.zeros(a.shape[1])
     penalty = 1e-4 * len(a)
     for _ in range(rounds):
@@ -118,10 +117,20 @@ def held_out(id_column: str, folds: int = 4, fold: int = 2) -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit(""))) % folds == fold
 
 
+def _known(labels: DataFrame, id_column: str, label_column: str) -> DataFrame:
+    """id and label of the labelled documents that are not held out."""
+    known = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull() & ~held_out(id_column))
+    return known.groupBy(F.col(id_column).alias("id")).agg(F.max(label_column).alias("label"))
+
+
+def good_share(labels: DataFrame, id_column: str = "doc_id", label_column: str = "quality") -> float:
+    """The share of label 1 among all labelled documents that are not held out; 0.5 without any."""
+    return float(_known(labels, id_column, label_column).agg(F.coalesce(F.avg("label"), F.lit(0.5))).first()[0])
+
+
 def sample(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> dict[int, list[bytes]]:
     """Texts of at most 2 * ``per_class`` labelled documents of each label that are not held out, in hash order."""
-    known = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull() & ~held_out(id_column))
-    known = known.groupBy(F.col(id_column).alias("id")).agg(F.max(label_column).alias("label"))
+    known = _known(labels, id_column, label_column)
     order = F.xxhash64("id")
     picked = [known.where(F.col("label") == q).orderBy(order, "id").limit(2 * per_class) for q in (0, 1)]
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where(F.octet_length("text").between(1, max_bytes))
@@ -143,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, **options) -> Classifier:
     x = _squares(np.array([model.features(t) for t in good[1::2] + bad[1::2]]))
     y = np.array([1.0] * len(good[1::2]) + [0.0] * len(bad[1::2]))
     model.centre, model.spread = x.mean(axis=0), x.std(axis=0) + 1e-9
-    model.weights = _logistic(np.clip((x - model.centre) / model.spread, -8, 8), y)
+    model.weights = _logistic(np.clip((x - model.centre) / model.spread, -8, 8), y, good_share(labels, **{k: v for k, v in options.items() if k in ("id_column", "label_column")}))
     return model
 
 

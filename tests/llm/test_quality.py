@@ -38,3 +38,13 @@ def test_edge_cases(spark):
     assert all(0 <= r.score <= 1 for r in rows) and rows[2].score == rows[3].score and rows[0].score == rows[1].score
     assert quality.accepted(docs, model).columns == docs.columns
     assert quality.score(docs.limit(0), model).count() == 0
+
+
+def test_scores_follow_the_share_of_the_labels(spark):
+    """Texts that do not tell the labels apart score about the share of label 1, whatever it is."""
+    draw = np.random.default_rng(5)
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in draw.integers(0, 300, 80))) for i in range(1500)], "doc_id long, text string")
+    for of_ten in (2, 5):
+        labels = docs.selectExpr("doc_id", f"cast(pmod(xxhash64(doc_id, 'label'), 10) < {of_ten} as int) quality")
+        scored = quality.score(docs, quality.fit(docs, labels)).toPandas()
+        assert abs(scored.score.mean() - of_ten / 10) < 0.12
