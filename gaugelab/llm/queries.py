@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gaugelab.llm import bpe, contamination, lm, near_text, near_vectors, pii, quality, repeats, spelling, token_counts, url_filter, warc
+from gaugelab.llm import bpe, contamination, lm, near_text, near_vectors, periodic, pii, quality, repeats, spelling, token_counts, url_filter, warc
 from gaugelab.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 from gaugelab.plans.bindings import table
 from gaugelab.storage import run_folder, written
@@ -116,3 +116,8 @@ def _(spark, sf):
 @query("op13_spelling_variants")
 def _(spark, sf):
     return spelling.variants(spelling.word_counts(table(spark, sf, "documents"), drop_every=31))
+
+
+@query("op11_periodic_runs")
+def _(spark, sf):
+    return periodic.runs(periodic.with_periodic_tails(table(spark, sf, "documents"))).drop("runs")

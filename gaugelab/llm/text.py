@@ -110,12 +110,12 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z lower-cased, from one running sum over the bytes."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """A 64-bit hash of each word, by default with A-Z lower-cased, from one running sum over the bytes."""
     n = len(data)
     running = np.empty(n + 1, dtype=_U)
     running[0] = 0
-    np.cumsum(BYTE_VALUES[LOWER][data] * _power_table(_BASE, n), out=running[1:])
+    np.cumsum((BYTE_VALUES[LOWER] if lower else BYTE_VALUES)[data] * _power_table(_BASE, n), out=running[1:])
     raw = (running[ends] - running[starts]) * _power_table(_BASE_INVERSE, n + 1)[starts]
     return mixed(raw + (ends - starts).astype(_U))
 
