@@ -50,7 +50,7 @@ class FittedModel:
 
 
 def load_model(folder: str, name: str) -> FittedModel:
-    """Read back a model saved under its name; KNN models come back as such."""
+    """Read back a model saved under its name; KNN and tree models come back as such."""
     path = f"{folder.rstrip('/')}/{model_folder(name)}"
     spark = SparkSession.active()
     note = json.loads(spark.read.text(f"{path}/note").first()[0])
@@ -58,4 +58,8 @@ def load_model(folder: str, name: str) -> FittedModel:
         from gaugelab.models.neighbours import NeighbourModel
 
         return NeighbourModel.load(path, note)
+    if note["output"] == "trees":
+        from gaugelab.models.fitted_trees import FittedTrees
+
+        return FittedTrees.load(path, note)
     return FittedModel(note["name"], PipelineModel.load(f"{path}/pipeline"), note["output"], note["sources"])

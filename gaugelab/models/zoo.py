@@ -2,30 +2,23 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 from dataclasses import replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
-from pyspark.ml.feature import Bucketizer, SQLTransformer, VectorAssembler, VectorSlicer
+from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.feature import SQLTransformer, VectorSlicer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugelab.fixed_values import FEATURES, MODEL_FAMILIES, SEED
-from gaugelab.functions.hashing import uniform
 from gaugelab.models.boosted_stumps import fit_stumps, stump_margin
 from gaugelab.models.closed_form import gaussian_margin, gaussian_parameters, ridge_weights, score_stage, weighted_sum
 from gaugelab.models.fitted import FittedModel
+from gaugelab.models.fitted_trees import FittedTrees, fit_trees
 from gaugelab.models.neighbours import NeighbourModel, fit_neighbours
 from gaugelab.models.stages import RandomFourierFeatures
+from gaugelab.models.trees import DEEPEST, Recipe
 from gaugelab.operators.features import Preparation, fit_preparation, vector_stages
 from gaugelab.storage import checkpoint_folder
 
@@ -34,14 +27,14 @@ PRESETS: dict[str, dict] = {
     "Logistic Regression": {"c": 1.0, "max_iter": 500},
     "Ridge Classifier": {"alpha": 1.0},
     "SGD Classifier": {"alpha": 1e-4, "max_iter": 500},
-    "Decision Tree": {"max_depth": 30, "max_bins": 256},
-    "Random Forest": {"trees": 300, "max_depth": 20, "max_bins": 64, "subset": "sqrt", "min_leaf": 1},
-    "Extra Trees": {"trees": 300, "max_depth": 20, "copies": 8, "cuts": 8},
+    "Decision Tree": {"max_depth": DEEPEST, "bins": 255, "min_leaf": 1, "min_split": 2},
+    "Random Forest": {"trees": 300, "max_depth": DEEPEST, "bins": 64, "subset": "sqrt", "min_leaf": 1, "min_split": 2},
+    "Extra Trees": {"trees": 300, "max_depth": DEEPEST, "bins": 64, "subset": "sqrt", "min_leaf": 1, "min_split": 2},
     "AdaBoost": {"rounds": 50, "bins": 64},
-    "Gradient Boosting": {"rounds": 100, "max_depth": 3, "rate": 0.1, "subsample": 1.0, "subset": "all", "min_leaf": 1, "min_gain": 0.0},
-    "XGBoost": {"rounds": 400, "max_depth": 5, "rate": 0.1, "subsample": 0.9, "subset": "0.9", "min_leaf": 1, "min_gain": 0.0},
-    "LightGBM": {"rounds": 400, "max_depth": 5, "rate": 0.05, "subsample": 1.0, "subset": "all", "min_leaf": 20, "min_gain": 0.0},
-    "CatBoost": {"rounds": 400, "max_depth": 6, "rate": 0.05, "subsample": 1.0, "subset": "all", "min_leaf": 1, "min_gain": 0.0},
+    "Gradient Boosting": {"rounds": 100, "max_depth": 3, "bins": 255, "rate": 0.1, "subsample": 1.0, "min_leaf": 1},
+    "XGBoost": {"rounds": 400, "max_depth": 5, "bins": 255, "rate": 0.1, "subsample": 0.9, "by_tree": 0.9, "min_hessian": 1.0, "gamma": 0.0, "l2": 1.0},
+    "LightGBM": {"rounds": 400, "max_depth": 5, "bins": 255, "rate": 0.05, "subsample": 1.0, "by_tree": 1.0, "min_leaf": 20, "leaves": 31},
+    "CatBoost": {"rounds": 400, "max_depth": 6, "bins": 255, "rate": 0.05, "l2": 3.0},
     "KNN": {"k": 7},
     "GaussianNB": {"smoothing": 1e-9},
     "SVM": {"c": 1.0, "size": 200, "max_iter": 100},
@@ -77,7 +70,7 @@ def fit_model(
     keep: Sequence[str] | None = None,
     seed: int = SEED,
     **overrides,
-) -> FittedModel | NeighbourModel:
+) -> FittedModel | FittedTrees | NeighbourModel:
     """Fit one model of the zoo on training rows.
 
     ``preparation`` reuses a learnt one, ``keep`` restricts the prepared
@@ -97,14 +90,32 @@ def fit_model(
         stage = _BY_COLUMNS[name](prepared, list(aliases), y, settings)
         return FittedModel(name, PipelineModel([project, stage]), "columns")
     sources = made.sources()
-    if name == "Extra Trees":
-        lead, origin = _random_cut_stages(train, named, {n: sources[n] for n in named}, settings, seed)
-    else:
-        lead, origin = vector_stages(list(named.values())), [sources[n] for n in named]
+    if name in TREE_MODELS:
+        return fit_trees(name, train, named, sources, y, recipe(name, settings, seed), settings["bins"])
+    lead, origin = vector_stages(list(named.values())), [sources[n] for n in named]
     fitted = Pipeline(stages=[*lead, *_ESTIMATORS[name](made.rows or train.count(), len(origin), settings, seed)]).fit(staged)
     return FittedModel(name, fitted, "vectors", {str(i): column for i, column in enumerate(origin)})
 
 
+# Tree models.
+
+TREE_MODELS = ["Decision Tree", "Random Forest", "Extra Trees", "Gradient Boosting", "XGBoost", "LightGBM", "CatBoost"]
+
+
+def recipe(name: str, s: dict, seed: int = SEED) -> Recipe:
+    """How the trees of a model are grown under given settings."""
+    if name in ("Decision Tree", "Random Forest", "Extra Trees"):
+        return Recipe(
+            "forest", s.get("trees", 1), s["max_depth"], "random" if name == "Extra Trees" else "gini", subset=s.get("subset", "all"),
+            bootstrap=name == "Random Forest", min_leaf=s["min_leaf"], min_split=s["min_split"], seed=seed,
+        )
+    return Recipe(
+        "boost", s["rounds"], s["max_depth"], "variance" if name == "Gradient Boosting" else "newton", per_tree=s.get("by_tree", 1.0), sample=s.get("subsample", 1.0),
+        min_leaf=s.get("min_leaf", 1), min_hessian=s.get("min_hessian", 0.0), min_gain=s.get("gamma", 0.0), l2=s.get("l2", 0.0), rate=s["rate"],
+        leaves=s.get("leaves", 0), level=name == "CatBoost", centred=name != "CatBoost", seed=seed,
+    )
+
+
 # Models that end in a score expression.
 
 def _ridge(prepared: DataFrame, names: list[str], y: str, s: dict):
@@ -134,32 +145,6 @@ def _sgd(rows: int, width: int, s: dict, seed: int) -> list:
     return [LogisticRegression(labelCol=LABEL, regParam=s["alpha"], standardization=False, maxIter=s["max_iter"])]
 
 
-def _tree(rows: int, width: int, s: dict, seed: int) -> list:
-    return [DecisionTreeClassifier(labelCol=LABEL, maxDepth=s["max_depth"], maxBins=s["max_bins"], seed=seed)]
-
-
-def _forest(rows: int, width: int, s: dict, seed: int) -> list:
-    return [
-        RandomForestClassifier(
-            labelCol=LABEL, numTrees=s["trees"], maxDepth=s["max_depth"], maxBins=s["max_bins"], featureSubsetStrategy=s["subset"],
-            minInstancesPerNode=s["min_leaf"], seed=seed,
-        )
-    ]
-
-
-def _extra_trees(rows: int, width: int, s: dict, seed: int) -> list:
-    return [RandomForestClassifier(labelCol=LABEL, numTrees=s["trees"], maxDepth=s["max_depth"], featureSubsetStrategy="sqrt", bootstrap=False, seed=seed)]
-
-
-def _boosting(rows: int, width: int, s: dict, seed: int) -> list:
-    return [
-        GBTClassifier(
-            labelCol=LABEL, maxIter=s["rounds"], maxDepth=s["max_depth"], stepSize=s["rate"], subsamplingRate=s["subsample"],
-            featureSubsetStrategy=s["subset"], minInstancesPerNode=s["min_leaf"], minInfoGain=s["min_gain"], seed=seed,
-        )
-    ]
-
-
 def _svm(rows: int, width: int, s: dict, seed: int) -> list:
     # Scaled numeric columns have variance about one, so 1 / width is the usual kernel width.
     penalty = 1.0 / (s["c"] * rows)
@@ -178,68 +163,36 @@ def _perceptron(rows: int, width: int, s: dict, seed: int) -> list:
 _ESTIMATORS: dict[str, Callable] = {
     "Logistic Regression": _logistic,
     "SGD Classifier": _sgd,
-    "Decision Tree": _tree,
-    "Random Forest": _forest,
-    "Extra Trees": _extra_trees,
-    "Gradient Boosting": _boosting,
-    "XGBoost": _boosting,
-    "LightGBM": _boosting,
-    "CatBoost": _boosting,
     "SVM": _svm,
     "MLP": _perceptron,
 }
 
 
-def _random_cut_stages(train: DataFrame, named: dict[str, str], sources: dict[str, str], s: dict, seed: int) -> tuple[list, list[str]]:
-    """Stages that make copies of every numeric column, each coarsened at its own random cuts.
-
-    A tree that may look at a random few of the copies at each node picks among
-    random cuts, which is what sets extremely randomised trees apart from a
-    random forest; the trees themselves see all rows. Also returns the raw
-    column behind each position of the vector.
-    """
-    aliases = {n: f"_f{i}" for i, n in enumerate(named)}
-    project = SQLTransformer(statement=f"SELECT *, {', '.join(f'{e} AS {aliases[n]}' for n, e in named.items())} FROM __THIS__")
-    numeric = [n for n in named if n.startswith("num__")]
-    others = [n for n in named if n not in numeric]
-    if not numeric:
-        return [project, VectorAssembler(inputCols=[aliases[n] for n in others], outputCol="features")], [sources[n] for n in others]
-    row = train.agg(*[F.min(F.expr(named[n])).alias(f"lo{i}") for i, n in enumerate(numeric)], *[F.max(F.expr(named[n])).alias(f"hi{i}") for i, n in enumerate(numeric)]).first()
-    copies = [(i, c) for i in range(len(numeric)) for c in range(s["copies"])]
-    draws = train.sparkSession.range(1).select(*[F.array(*[uniform(seed, F.lit("cut"), F.lit(f"{i}-{c}-{k}")) for k in range(s["cuts"])]).alias(f"u{i}_{c}") for i, c in copies]).first()
-    splits = []
-    for i, c in copies:
-        low, high = row[f"lo{i}"], row[f"hi{i}"]
-        cuts = sorted({low + (high - low) * u for u in draws[f"u{i}_{c}"]})
-        splits.append([-math.inf, *cuts, math.inf])
-    made = [f"_c{i}_{c}" for i, c in copies]
-    coarsen = Bucketizer(inputCols=[aliases[numeric[i]] for i, _ in copies], outputCols=made, splitsArray=splits)
-    assemble = VectorAssembler(inputCols=[*made, *[aliases[n] for n in others]], outputCol="features")
-    return [project, coarsen, assemble], [*[sources[numeric[i]] for i, _ in copies], *[sources[n] for n in others]]
-
-
-def native_importance(model: FittedModel) -> DataFrame | None:
+def native_importance(model) -> DataFrame | None:
     """Importances of a tree model summed to raw columns: (feature, importance); None for other models."""
-    last = model.classifier if isinstance(model, FittedModel) else None
-    if last is None or not hasattr(last, "featureImportances"):
+    if not isinstance(model, FittedTrees):
         return None
-    weights = last.featureImportances.toArray()
-    rows = [(model.sources[str(i)], float(w)) for i, w in enumerate(weights)]
+    rows = [(model.sources[n], w) for n, w in model.importances().items()]
     return SparkSession.active().createDataFrame(rows, "feature string, importance double").groupBy("feature").agg(F.sum("importance").alias("importance")).orderBy(F.desc("importance"), "feature")
 
 
 def tuned_settings(name: str, params: dict) -> dict:
-    """The settings that drawn search parameters stand for here; these are what is fitted and reported.
-
-    Only parameters with a counterpart in the Spark estimator are taken over:
-    l2_leaf_reg, gamma, num_leaves and min_samples_split have none.
-    """
+    """The settings that drawn search parameters stand for here; these are what is fitted and reported."""
     if name == "Random Forest":
-        return {"trees": params["n_estimators"], "max_depth": params["max_depth"], "subset": params["max_features"] or "all", "min_leaf": params["min_samples_leaf"]}
+        return {
+            "trees": params["n_estimators"], "max_depth": params["max_depth"], "subset": params["max_features"] or "all",
+            "min_leaf": params["min_samples_leaf"], "min_split": params["min_samples_split"],
+        }
     if name == "XGBoost":
-        return {"rounds": params["n_estimators"], "max_depth": params["max_depth"], "rate": params["learning_rate"], "subsample": params["subsample"], "subset": str(params["colsample_bytree"]), "min_leaf": params["min_child_weight"]}
+        return {
+            "rounds": params["n_estimators"], "max_depth": params["max_depth"], "rate": params["learning_rate"], "subsample": params["subsample"],
+            "by_tree": params["colsample_bytree"], "min_hessian": float(params["min_child_weight"]), "gamma": params["gamma"],
+        }
     if name == "LightGBM":
-        return {"rounds": params["n_estimators"], "max_depth": params["max_depth"], "rate": params["learning_rate"], "subsample": params["subsample"], "subset": str(params["colsample_bytree"]), "min_leaf": params["min_child_samples"]}
+        return {
+            "rounds": params["n_estimators"], "max_depth": params["max_depth"], "rate": params["learning_rate"], "subsample": params["subsample"],
+            "by_tree": params["colsample_bytree"], "min_leaf": params["min_child_samples"], "leaves": params["num_leaves"],
+        }
     if name == "CatBoost":
-        return {"rounds": params["iterations"], "max_depth": params["depth"], "rate": params["learning_rate"]}
+        return {"rounds": params["iterations"], "max_depth": params["depth"], "rate": params["learning_rate"], "l2": params["l2_leaf_reg"]}
     raise KeyError(f"{name} has no search space")
