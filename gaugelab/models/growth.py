@@ -187,7 +187,7 @@ def held_votes(spark: SparkSession, cells: tr.Cells, fits: Sequence[Fit]) -> tup
 def _partial_sums(cells: DataFrame, recipe: tr.Recipe, edges: list[np.ndarray], growing: dict[int, tr.Growing], margins: bool) -> DataFrame:
     """(tree, node, sums) of every open node, as far as each task has met it."""
     offsets = tr.offsets_of(edges)
-    trunks = {t: (g.finished_so_far(), _open_numbers(g)) for t, g in growing.items()}
+    trunks = {t: (g.finished_so_far(), g.open_numbers()) for t, g in growing.items()}
     lent = cells.sparkSession.sparkContext.broadcast(trunks)
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -206,13 +206,6 @@ def _partial_sums(cells: DataFrame, recipe: tr.Recipe, edges: list[np.ndarray],
     return cells.mapInArrow(run, "tree int, node int, sums binary")
 
 
-def _open_numbers(growing: tr.Growing) -> np.ndarray:
-    """Number of each node among the open ones, or -1."""
-    out = np.full(len(growing.feature), -1, np.int64)
-    out[growing.open] = np.arange(len(growing.open))
-    return out
-
-
 def _routed(batch, recipe, edges, trunks, margins, offsets):
     """Per tree: its number, open node, rows, statistics, places and hash of the cells that stand at an open node."""
     if not batch.num_rows:
@@ -254,8 +247,8 @@ def _chosen(partial: DataFrame, recipe: tr.Recipe, edges: list[np.ndarray], name
 def _finished_below(cells: DataFrame, recipe: tr.Recipe, edges: list[np.ndarray], growing: dict[int, tr.Growing], allowed: np.ndarray) -> dict[int, dict[int, tr.Tree]]:
     """The rest of each tree below its open nodes, each grown where the cells of the node are brought together."""
     offsets = tr.offsets_of(edges)
-    trunks = {t: (g.finished_so_far(), _open_numbers(g)) for t, g in growing.items()}
-    below = {t: (g.names(), g.depth) for t, g in growing.items()}
+    trunks = {t: (g.finished_so_far(), g.open_numbers()) for t, g in growing.items()}
+    below = {t: (g.names, g.depth) for t, g in growing.items()}
     lent = cells.sparkSession.sparkContext.broadcast(trunks)
 
     def deal(batches: Iterator[pa.RecordBatch]):
@@ -273,7 +266,7 @@ def _finished_below(cells: DataFrame, recipe: tr.Recipe, edges: list[np.ndarray]
     dealt = cells.mapInArrow(deal, "tree int, node int, key binary, a double, b double")
     out: dict[int, dict[int, tr.Tree]] = {t: {} for t in growing}
     for r in dealt.groupBy("tree", "node").applyInArrow(finish, "tree int, node int, made binary").collect():
-        out[r["tree"]][growing[r["tree"]].open[r["node"]]] = pickle.loads(r["made"])
+        out[r["tree"]][growing[r["tree"]].closed + r["node"]] = pickle.loads(r["made"])
     return out
 
 
@@ -293,10 +286,10 @@ def grow_wide(cells: DataFrame, fit: Fit, edges: list[np.ndarray], limit: int |
         ends: dict[int, dict[int, tr.Tree]] = {}
         while live := {t: g for t, g in growing.items() if g.open}:
             rows: dict[int, dict[int, tuple]] = {t: {} for t in live}
-            for r in _chosen(_partial_sums(state, recipe, edges, live, boosted), recipe, edges, {t: g.names() for t, g in live.items()}, allowed):
+            for r in _chosen(_partial_sums(state, recipe, edges, live, boosted), recipe, edges, {t: g.names for t, g in live.items()}, allowed):
                 rows[r["tree"]][r["node"]] = r
             for t, g in live.items():
-                found = [rows[t].get(k) for k in range(len(g.open))]
+                found = [rows[t].get(k) for k in range(g.open)]
                 g.take(
                     np.array([r["feature"] if r else -1 for r in found]), np.array([r["cut"] if r else 0 for r in found]), np.array([r["gain"] if r else 0.0 for r in found]),
                     np.array([r["totals"] if r else [0.0] * (3 if boosted else 2) for r in found]).T,
@@ -305,10 +298,8 @@ def grow_wide(cells: DataFrame, fit: Fit, edges: list[np.ndarray], limit: int |
             # Children hold fewer rows than their parents.
             if live and not boosted and all(r["totals"][0] <= limit for part in rows.values() for r in part.values()):
                 ends = _finished_below(state, recipe, edges, live, allowed)
-                for g in live.values():
-                    g.open = []
-        for t, g in growing.items():
-            made.append(tr.grafted(g.finished(), ends[t]) if t in ends else g.finished())
+                break
+        made += [tr.grafted(g.finished(), ends[t]) if t in ends else g.finished() for t, g in growing.items()]
         if boosted and first + step < recipe.trees:
             after = written(_with_margins(state, made[-1], edges), "margins")
             dropped(state.sparkSession, state)

@@ -173,7 +173,15 @@ def _within(sums: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total - np.repeat(before, np.diff(offsets), axis=-1)
 
 
-def best_splits(recipe: Recipe, tree: int, names: np.ndarray, sums: np.ndarray, offsets: np.ndarray, edges: list[np.ndarray], allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def worth_splitting(recipe: Recipe, totals: np.ndarray) -> np.ndarray:
+    """Which nodes could be split by their totals; where a level shares its split, all take part."""
+    if recipe.level:
+        return np.ones(totals.shape[1], bool)
+    enough = totals[0] >= max(recipe.min_split, 2 * recipe.min_leaf)
+    return enough & (totals[1] > 0) & (totals[1] < totals[0]) if recipe.kind == "forest" else enough
+
+
+def best_splits(recipe: Recipe, tree: int, names: np.ndarray, sums: np.ndarray, offsets: np.ndarray, edges: list[np.ndarray], allowed: np.ndarray, totals: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Feature (-1: none), cut, gain and totals of every node, from its sums.
 
     Statistics are (rows, rows of class 1) for gini and random splits, (rows,
@@ -181,19 +189,17 @@ def best_splits(recipe: Recipe, tree: int, names: np.ndarray, sums: np.ndarray,
     """
     nodes, features = sums.shape[1], len(edges)
     left = _within(sums, offsets)
-    totals = left[:, :, offsets[1] - 1]  # the sum over any feature's bins
+    if totals is None:
+        totals = left[:, :, offsets[1] - 1]  # the sum over any feature's bins
     right = totals[:, :, None] - left
-    rows = totals[0]
     with np.errstate(divide="ignore", invalid="ignore"):
         if recipe.split in ("gini", "random"):
             part = lambda s: (s[1] ** 2 + (s[0] - s[1]) ** 2) / s[0]
             gain = part(left) + part(right) - part(totals)[:, None]
-            open_ = (totals[1] > 0) & (totals[1] < rows)
         else:
             weight = 0 if recipe.split == "variance" else 2
             part = lambda s: s[1] ** 2 / (s[weight] + recipe.l2)
             gain = 0.5 * (part(left) + part(right) - part(totals)[:, None])
-            open_ = np.ones(nodes, bool)
     real = (left[0] > 0) & (right[0] > 0)
     valid = real & (left[0] >= recipe.min_leaf) & (right[0] >= recipe.min_leaf)
     if recipe.min_hessian:
@@ -222,7 +228,7 @@ def best_splits(recipe: Recipe, tree: int, names: np.ndarray, sums: np.ndarray,
         at = np.argmax(gain, axis=1)
         best = own = gain[np.arange(nodes), at]
         least = -1e-9 if recipe.kind == "forest" else max(recipe.min_gain, 1e-12)
-        hit = open_ & (rows >= recipe.min_split) & (best > least)
+        hit = worth_splitting(recipe, totals) & (best > least)
     feature = np.where(hit, feature_of[at], -1)
     return feature, at - offsets[feature_of[at]], np.where(hit, np.maximum(own, 0.0), 0.0), totals
 
@@ -244,66 +250,67 @@ def _random_cuts(recipe: Recipe, tree: int, names: np.ndarray, rows: np.ndarray,
 
 
 class Growing:
-    """A tree while it is grown, a level at a time."""
+    """A tree while it is grown, a level at a time; nodes are numbered level by level."""
 
     def __init__(self, recipe: Recipe, tree: int, name: int = 1, depth: int = 0):
-        self.recipe, self.tree = recipe, tree
-        self.feature, self.cut, self.left, self.gain, self.name = [-1], [0], [0], [0.0], [name]
-        self.totals: list[np.ndarray | None] = [None]
-        self.open = [0]  # nodes of the present level
-        self.depth = self.top = depth
-
-    def names(self) -> np.ndarray:
-        return np.array([self.name[i] for i in self.open], np.int64)
-
-    def take(self, feature, cut, gain, totals) -> np.ndarray:
-        """Put the splits of the present level in; returns per open node the number of its left child among the next, or -1."""
-        out = np.full(len(self.open), -1)
-        following = []
-        deep = self.depth >= min(self.recipe.depth, DEEPEST)
-        for k, i in enumerate(self.open):
-            self.totals[i] = totals[:, k]
-            if feature[k] < 0 or deep:
-                continue
-            out[k] = len(following)
-            self.feature[i], self.cut[i], self.gain[i], self.left[i] = int(feature[k]), int(cut[k]), float(gain[k]), len(self.feature)
-            for side in (0, 1):
-                following.append(len(self.feature))
-                self.feature.append(-1)
-                self.cut.append(0)
-                self.left.append(0)
-                self.gain.append(0.0)
-                self.totals.append(None)
-                self.name.append(2 * self.name[i] + side)
-        self.open = following
+        self.recipe, self.tree, self.depth, self.top = recipe, tree, depth, depth
+        self.names = np.array([name], np.int64)  # of the open nodes
+        self.closed = 0  # nodes of the levels above
+        self.levels: list[tuple[np.ndarray, ...]] = []  # feature, cut, gain, left, totals
+
+    @property
+    def open(self) -> int:
+        return len(self.names)
+
+    def deep(self) -> bool:
+        return self.depth >= min(self.recipe.depth, DEEPEST)
+
+    def take(self, feature: np.ndarray, cut: np.ndarray, gain: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        """Put the splits of the open level in; returns per node the number of its left child in the next level, or -1."""
+        n = len(self.names)
+        if self.deep():
+            feature = np.full(n, -1)
+        split = np.flatnonzero(feature >= 0)
+        child = np.full(n, -1)
+        child[split] = 2 * np.arange(len(split))
+        self.closed += n
+        self.levels.append((feature, cut, gain, np.where(child >= 0, self.closed + child, 0), totals))
+        self.names = (2 * self.names[split][:, None] + np.arange(2)).ravel()
         self.depth += 1
-        return out
+        return child
+
+    def _joined(self) -> list[np.ndarray]:
+        n = len(self.names)
+        levels = self.levels
+        if n:  # open nodes are leaves for now
+            channels = levels[0][4].shape[0] if levels else 3
+            levels = [*levels, (np.full(n, -1), np.zeros(n, int), np.zeros(n), np.zeros(n, int), np.zeros((channels, n)))]
+        return [np.concatenate(parts, axis=-1) for parts in zip(*levels)]
+
+    def _as_tree(self, feature, cut, left, value, gain, depth) -> Tree:
+        leaf = feature < 0  # leads to itself whatever the code
+        feature, cut, left = np.where(leaf, 0, feature), np.where(leaf, 255, cut), np.where(leaf, np.arange(len(left)), left)
+        return Tree(feature.astype(np.int16), cut.astype(np.int16), left.astype(np.int32), value, np.where(leaf, 0.0, gain), depth)
 
     def finished_so_far(self) -> Tree:
         """The nodes there are, for finding the open node of a row; values are not set."""
-        feature, cut, left = np.array(self.feature), np.array(self.cut), np.array(self.left)
-        leaf = feature < 0
-        feature[leaf], cut[leaf] = 0, 255
-        left[leaf] = np.flatnonzero(leaf)
-        none = np.zeros(len(feature))
-        return Tree(feature, cut, left, none, none, self.depth - self.top)
+        feature, cut, gain, left, _ = self._joined()
+        return self._as_tree(feature, cut, left, np.zeros(len(feature)), gain, self.depth - self.top)
+
+    def open_numbers(self) -> np.ndarray:
+        """Number of each node among the open ones, or -1."""
+        return np.concatenate([np.full(self.closed, -1), np.arange(self.open)])
 
     def finished(self) -> Tree:
-        feature, cut, left, gain = np.array(self.feature), np.array(self.cut), np.array(self.left), np.array(self.gain)
-        totals = np.stack([t if t is not None else np.zeros_like(self.totals[0]) for t in self.totals], axis=1)
+        feature, cut, gain, left, totals = self._joined()
         if self.recipe.leaves:
             self._keep_best(feature, left, gain)
-        leaf = feature < 0
         with np.errstate(divide="ignore", invalid="ignore"):
             if self.recipe.kind == "forest":
                 value = totals[1] / totals[0]
             else:
                 value = -self.recipe.rate * totals[1] / (totals[2] + self.recipe.l2)
-        value = np.where(np.isfinite(value), value, 0.0)
-        # A leaf leads to itself whatever the code.
-        feature[leaf], cut[leaf] = 0, 255
-        left[leaf] = np.flatnonzero(leaf)
-        return Tree(feature.astype(np.int16), cut.astype(np.int16), left.astype(np.int32), value, np.where(leaf, 0.0, gain), max(0, self.depth - self.top - 1))
+        return self._as_tree(feature, cut, left, np.where(np.isfinite(value), value, 0.0), gain, max(0, self.depth - self.top - 1))
 
     def _keep_best(self, feature, left, gain) -> None:
         """Split the leaf of largest gain again and again, as far as the leaves go; the other splits are taken back."""
@@ -326,18 +333,36 @@ def grow(recipe: Recipe, tree: int, codes: np.ndarray, stats: np.ndarray, edges:
     offsets = offsets_of(edges)
     allowed = tree_features(recipe, tree, allowed)
     growing = Growing(recipe, tree, name, depth)
-    live = np.flatnonzero(stats[0] > 0)
-    codes, stats = codes[live], stats[:, live]
-    places = codes + offsets[:-1]
-    node = np.zeros(len(live), np.int64)
+    # Only the bins of features that may be used are summed; the others stay empty.
+    used = np.flatnonzero(allowed)
+    column = np.zeros(len(edges), np.int64)
+    column[used] = np.arange(len(used))
+    places = (codes[:, used] + offsets[:-1][used]).astype(np.int32)
+    rows = np.flatnonzero(stats[0] > 0)
+    places, stats = places.take(rows, axis=0), stats.take(rows, axis=1)
+    node = np.zeros(len(rows), np.int64)
     while growing.open:
-        names = growing.names()
-        sums = histogram(places, node, stats, len(names), int(offsets[-1]))
-        feature, cut, gain, totals = best_splits(recipe, tree, names, sums, offsets, edges, allowed)
+        n = growing.open
+        totals = np.stack([np.bincount(node, weights=s, minlength=n) for s in stats])
+        feature, cut, gain = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n)
+        wide = np.flatnonzero(worth_splitting(recipe, totals)) if len(used) and not growing.deep() else np.zeros(0, int)
+        if len(wide):
+            number = np.full(n, -1)
+            number[wide] = np.arange(len(wide))
+            if len(wide) < n:
+                rows = np.flatnonzero(number[node] >= 0)
+                places, stats, node = places.take(rows, axis=0), stats.take(rows, axis=1), node[rows]
+            sums = histogram(places, number[node], stats, len(wide), int(offsets[-1]))
+            feature[wide], cut[wide], gain[wide] = best_splits(recipe, tree, growing.names[wide], sums, offsets, edges, allowed, totals[:, wide])[:3]
         child = growing.take(feature, cut, gain, totals)
-        keep = child[node] >= 0
-        codes, places, stats, node = codes[keep], places[keep], stats[:, keep], node[keep]
-        right = codes[np.arange(len(node)), feature[node]] > cut[node]
+        if not growing.open:
+            break
+        rows = np.flatnonzero(child[node] >= 0)
+        node = node[rows]
+        if len(rows) < len(places):
+            places, stats = places.take(rows, axis=0), stats.take(rows, axis=1)
+        f = feature[node]
+        right = places[np.arange(len(node)), column[f]] > cut[node] + offsets[f]
         node = child[node] + right
     return growing.finished()
 

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugelab.fixed_values import CV_FOLDS, FEATURES, METRICS
-from gaugelab.models.zoo import fit_model, ordered_model_names
+from gaugelab.models.zoo import TREE_MODELS, fit_model, ordered_model_names
 from gaugelab.operators.features import fit_preparation
 from gaugelab.operators.metrics import decision_metrics, metric_suite
 from gaugelab.operators.significance import fold_summary
 from gaugelab.operators.split import first_rows, with_folds
+from gaugelab.operators.variants import Variant, held_predictions
 from gaugelab.storage import cut_lineage, written
 
 # Fits that run at the same time; each is a chain of Spark jobs.
@@ -43,24 +44,34 @@ def cross_validated_predictions(
 ) -> DataFrame:
     """Held-out predictions of every model on every fold: (model, fold, id, y, y_pred, y_proba, y_score).
 
-    Preparation is learnt once per fold and shared by all models. The result is
-    written to the checkpoint folder, so metrics, ranks and tests reuse it
-    without fitting again.
+    The tree models of all folds are grown by one job per number of bins. For the
+    others, preparation is learnt once per fold and shared. The result is written
+    to the checkpoint folder, so metrics, ranks and tests reuse it without
+    fitting again.
     """
-    folded = (train if "fold" in train.columns else with_folds(train, folds=folds)).persist()
+    names, settings = list(models or ordered_model_names()), settings or {}
+    trees, others = [n for n in names if n in TREE_MODELS], [n for n in names if n not in TREE_MODELS]
+    folded = written(train if "fold" in train.columns else with_folds(train, folds=folds), "folded")
+    frames = held_predictions(folded, [Variant((n,), n, settings.get(n, {}), f) for n in trees for f in range(folds)], columns) if trees else []
+    if others:
+        frames += _one_by_one(folded, others, folds, columns, settings)
+    return cut_lineage(union_all(frames))
+
+
+def _one_by_one(folded: DataFrame, models: Sequence[str], folds: int, columns: Sequence[str], settings: Mapping[str, dict]) -> list[DataFrame]:
+    """Held-out predictions, fit by fit, a few at a time."""
+    folded = folded.persist()
     try:
         parts = [(f, folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)) for f in range(folds)]
         prepared = {f: fit_preparation(seen, columns) for f, seen, _ in parts}
 
         def one(task):
             name, (f, seen, held) = task
-            fitted = fit_model(name, seen, columns, preparation=prepared[f], **(settings or {}).get(name, {}))
-            return scored_rows(fitted, held, name, ["fold"])
+            fitted = fit_model(name, seen, columns, preparation=prepared[f], **settings.get(name, {}))
+            return written(scored_rows(fitted, held, name, ["fold"]), "held")
 
-        tasks = [(name, part) for name in models or ordered_model_names() for part in parts]
         with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-            frames = list(pool.map(one, tasks))
-        return cut_lineage(union_all(frames))
+            return list(pool.map(one, [(name, part) for name in models for part in parts]))
     finally:
         folded.unpersist()
 
