@@ -191,62 +191,70 @@ def best_splits(recipe: Recipe, tree: int, names: np.ndarray, sums: np.ndarray,
     left = _within(sums, offsets)
     if totals is None:
         totals = left[:, :, offsets[1] - 1]  # the sum over any feature's bins
+    if recipe.split == "random":  # one cut a feature is all that is looked at
+        place, useful = _random_cuts(recipe, tree, names, sums[0], offsets, edges)
+        left = np.take_along_axis(left, place[None], axis=2)
+        feature_of = np.arange(features)
+    else:
+        place, useful, feature_of = None, None, np.repeat(np.arange(features), np.diff(offsets))
     right = totals[:, :, None] - left
     with np.errstate(divide="ignore", invalid="ignore"):
-        if recipe.split in ("gini", "random"):
+        if recipe.kind == "forest":
             part = lambda s: (s[1] ** 2 + (s[0] - s[1]) ** 2) / s[0]
             gain = part(left) + part(right) - part(totals)[:, None]
         else:
             weight = 0 if recipe.split == "variance" else 2
             part = lambda s: s[1] ** 2 / (s[weight] + recipe.l2)
             gain = 0.5 * (part(left) + part(right) - part(totals)[:, None])
-    real = (left[0] > 0) & (right[0] > 0)
-    valid = real & (left[0] >= recipe.min_leaf) & (right[0] >= recipe.min_leaf)
+    valid = real = (left[0] > 0) & (right[0] > 0)
+    if recipe.min_leaf > 1:
+        valid = real & (left[0] >= recipe.min_leaf) & (right[0] >= recipe.min_leaf)
     if recipe.min_hessian:
-        valid &= (left[2] >= recipe.min_hessian) & (right[2] >= recipe.min_hessian)
-    feature_of = np.repeat(np.arange(features), np.diff(offsets))
+        valid = valid & (left[2] >= recipe.min_hessian) & (right[2] >= recipe.min_hessian)
     # Features with two filled bins or more, of which each node looks at its own few.
-    useful = np.add.reduceat(real, offsets[:-1], axis=1) > 0
+    if useful is None:
+        useful = np.logical_or.reduceat(real, offsets[:-1], axis=1)
     useful &= allowed
     wanted = feature_counts(recipe.subset, int(allowed.sum()))
     if wanted < allowed.sum():
         order = np.where(useful, draw(recipe.seed, tree, names[:, None], 11, np.arange(features)[None, :]).reshape(nodes, features), 2.0)
         rank = np.argsort(np.argsort(order, axis=1, kind="stable"), axis=1, kind="stable")
         useful &= rank < wanted
-    valid &= useful[:, feature_of]
-    if recipe.split == "random":
-        valid &= _random_cuts(recipe, tree, names, sums[0], offsets, edges)
+    valid = valid & useful[:, feature_of]
     gain = np.where(valid, gain, -np.inf)
+    rows = np.arange(nodes)
     if recipe.level:
         # The gains of a cut over all nodes; nodes it does not divide keep their rows together.
         added = np.where(valid, gain, 0.0).sum(axis=0)
         at = np.full(nodes, int(np.argmax(added)))
         best = np.full(nodes, added.max())
         hit = (best > recipe.min_gain) & valid.any()
-        own = np.where(np.isfinite(gain[np.arange(nodes), at]), gain[np.arange(nodes), at], 0.0)
+        own = np.where(np.isfinite(gain[rows, at]), gain[rows, at], 0.0)
     else:
         at = np.argmax(gain, axis=1)
-        best = own = gain[np.arange(nodes), at]
+        best = own = gain[rows, at]
         least = -1e-9 if recipe.kind == "forest" else max(recipe.min_gain, 1e-12)
         hit = worth_splitting(recipe, totals) & (best > least)
     feature = np.where(hit, feature_of[at], -1)
-    return feature, at - offsets[feature_of[at]], np.where(hit, np.maximum(own, 0.0), 0.0), totals
+    cut = (at if place is None else place[rows, at]) - offsets[feature_of[at]]
+    return feature, cut, np.where(hit, np.maximum(own, 0.0), 0.0), totals
 
 
-def _random_cuts(recipe: Recipe, tree: int, names: np.ndarray, rows: np.ndarray, offsets: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
-    """Mask of one cut per (node, feature): drawn evenly between the edges around the smallest and largest value of the node."""
-    mask = np.zeros(rows.shape, bool)
+def _random_cuts(recipe: Recipe, tree: int, names: np.ndarray, rows: np.ndarray, offsets: np.ndarray, edges: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one cut per (node, feature), drawn evenly between the edges around the node's smallest and largest value, and where there is one."""
+    place, there = np.tile(offsets[:-1], (len(names), 1)), np.zeros((len(names), len(edges)), bool)
+    filled = rows > 0
     for f, e in enumerate(edges):
         if not len(e):
             continue
-        filled = rows[:, offsets[f] : offsets[f + 1]] > 0
-        low, high = filled.argmax(axis=1), filled.shape[1] - 1 - filled[:, ::-1].argmax(axis=1)
-        ok = np.flatnonzero(filled.any(axis=1) & (high > low))
+        own = filled[:, offsets[f] : offsets[f + 1]]
+        low, high = own.argmax(axis=1), own.shape[1] - 1 - own[:, ::-1].argmax(axis=1)
+        ok = np.flatnonzero((high > low) & own[np.arange(len(own)), low])
         a, b = e[low[ok]], e[high[ok] - 1]
         value = a + (b - a) * draw(recipe.seed, tree, names[ok], 13, f)
-        cut = np.clip(np.searchsorted(e, value, side="right") - 1, low[ok], high[ok] - 1)
-        mask[ok, offsets[f] + cut] = True
-    return mask
+        place[ok, f] += np.clip(np.searchsorted(e, value, side="right") - 1, low[ok], high[ok] - 1)
+        there[ok, f] = True
+    return place, there
 
 
 class Growing:
