@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugelab.catalog.base import SENSORS, duck_word, query, scored
-from gaugelab.catalog.scoring import _METRICS, _SPLIT, _metric_sql
+from gaugelab.catalog.scoring import _FOLDS, _METRICS, _SPLIT, _hash, _metric_sql
 from gaugelab.fixed_values import SENSORS as SENSOR_NAMES
 from gaugelab.models import zoo
 from gaugelab.operators import attribution, compare, cost, evaluate, metrics, split, tuning
@@ -97,7 +97,34 @@ def _(spark, sf):
     return results
 
 
-@query("learning_curve")
+# Numeric columns as scaled within each training set; one-hot columns as they are.
+_CURVE_X = [*SENSOR_NAMES, *[f"c_{v}" for v in _LEVELS]]
+_CURVE_EPS = f"1e-9 * greatest({', '.join([f'CASE WHEN t.v_{s} > 1e-18 THEN 1.0 ELSE 0.0 END' for s in SENSOR_NAMES] + [f't.v_c_{v}' for v in _LEVELS])})"
+
+
+def _curve_joint(k: str) -> str:
+    spread = {x: f"({k}.v_{x} + eps * {f'(CASE WHEN t.v_{x} > 1e-18 THEN t.v_{x} ELSE 1.0 END)' if x in SENSOR_NAMES else '1.0'})" for x in _CURVE_X}
+    return f"ln({k}.n) " + " ".join(f"- 0.5 * ln({spread[x]}) - 0.5 * pow(r.{x} - {k}.m_{x}, 2) / {spread[x]}" for x in _CURVE_X)
+
+
+_CURVE = f"""WITH {_FOLDS}, x AS (SELECT id, y, fold, {', '.join(SENSOR_NAMES)}, {', '.join(f"CASE WHEN Fruit = '{v}' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS c_{v}" for v in _LEVELS)} FROM folded),
+    tr AS (SELECT x.*, v.held, row_number() OVER (PARTITION BY v.held ORDER BY {_hash('learning', 'x.id')}, x.id) AS place, count(*) OVER (PARTITION BY v.held) AS others
+      FROM x, (SELECT unnest(range(5)) AS held) v WHERE x.fold <> v.held),
+    seen AS (SELECT tr.*, s.step, greatest(1, CAST(floor((CAST(0.1 AS DOUBLE) + CAST(0.9 AS DOUBLE) * s.step / 7) * others) AS BIGINT)) AS train_rows FROM tr, (SELECT unnest(range(8)) AS step) s
+      WHERE place <= greatest(1, CAST(floor((CAST(0.1 AS DOUBLE) + CAST(0.9 AS DOUBLE) * s.step / 7) * others) AS BIGINT))),
+    g AS (SELECT held, step, y, CAST(count(*) AS DOUBLE) AS n, {', '.join(f'avg({x}) AS m_{x}, var_pop({x}) AS v_{x}' for x in _CURVE_X)} FROM seen GROUP BY ALL),
+    t AS (SELECT held, step, max(train_rows) AS train_rows, {', '.join(f'var_pop({x}) AS v_{x}' for x in _CURVE_X)} FROM seen GROUP BY ALL),
+    e AS (SELECT t.*, {_CURVE_EPS} AS eps FROM t),
+    r AS (SELECT held, step, 'train' AS part, y, {', '.join(_CURVE_X)} FROM seen UNION ALL SELECT fold AS held, step, 'cv', y, {', '.join(_CURVE_X)} FROM x, (SELECT unnest(range(8)) AS step) s),
+    p AS (SELECT r.held, r.step, part, train_rows, r.y, CASE WHEN ({_curve_joint('b')}) - ({_curve_joint('a')}) > 0 THEN 1 ELSE 0 END AS said
+      FROM r JOIN e t ON r.held = t.held AND r.step = t.step JOIN g a ON a.held = r.held AND a.step = r.step AND a.y = 0 JOIN g b ON b.held = r.held AND b.step = r.step AND b.y = 1),
+    f AS (SELECT held, step, part, max(train_rows) AS train_rows, CASE WHEN count(*) FILTER (WHERE said = 1 AND y = 1) = 0 THEN 0 ELSE
+      2.0 * count(*) FILTER (WHERE said = 1 AND y = 1) / (2 * count(*) FILTER (WHERE said = 1 AND y = 1) + count(*) FILTER (WHERE said <> y)) END AS f1 FROM p GROUP BY ALL)
+    SELECT CAST(step AS INT) AS step, CAST(max(train_rows) AS INT) AS train_rows, avg(f1) FILTER (WHERE part = 'train') AS train_f1_mean, stddev_pop(f1) FILTER (WHERE part = 'train') AS train_f1_std,
+      avg(f1) FILTER (WHERE part = 'cv') AS cv_f1_mean, stddev_pop(f1) FILTER (WHERE part = 'cv') AS cv_f1_std FROM f GROUP BY step"""
+
+
+@query("learning_curve", _CURVE, "train_f1_mean train_f1_std cv_f1_mean cv_f1_std")
 def _(spark, sf):
     return evaluate.learning_curve(sensors(spark, sf), "GaussianNB")
 

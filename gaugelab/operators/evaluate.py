@@ -14,6 +14,7 @@ from gaugelab.fixed_values import CV_FOLDS, FEATURES, METRICS
 from gaugelab.models.zoo import TREE_MODELS, fit_model, ordered_model_names
 from gaugelab.operators.features import fit_preparation
 from gaugelab.operators.metrics import decision_metrics, metric_suite
+from gaugelab.operators.nested import bayes_learning_curve
 from gaugelab.operators.significance import fold_summary
 from gaugelab.operators.split import first_rows, with_folds
 from gaugelab.operators.variants import Variant, held_predictions
@@ -118,8 +119,12 @@ def learning_curve(
     """Training and validation F1 by training size: (step, train_rows, train_f1_mean, train_f1_std, cv_f1_mean, cv_f1_std).
 
     Sizes nest: each one keeps the first rows of the fold's hashed order. The
-    spread is the population one.
+    spread is the population one. Gaussian naive Bayes needs no fit per size: its
+    moments are summed once (``nested``).
     """
+    if model == "GaussianNB":
+        folded = train if "fold" in train.columns else with_folds(train, folds=folds)
+        return cut_lineage(_curve(bayes_learning_curve(folded, steps, smallest, columns, **(settings or {}))).orderBy("step"))
     folded = (train if "fold" in train.columns else with_folds(train, folds=folds)).persist()
     try:
         frames = []
@@ -135,11 +140,14 @@ def learning_curve(
 
         with ThreadPoolExecutor(PARALLEL_FITS) as pool:
             frames = list(pool.map(one, [(f, s) for f in range(folds) for s in range(steps)]))
-        scored = decision_metrics(union_all(frames), ["fold", "step", "train_rows", "part"])
-        means = scored.groupBy("step").agg(
-            F.max("train_rows").alias("train_rows"),
-            *[g(F.when(F.col("part") == part, F.col("f1"))).alias(f"{part}_f1_{label}") for part in ("train", "cv") for g, label in ((F.avg, "mean"), (F.stddev_pop, "std"))],
-        )
-        return cut_lineage(means.orderBy("step"))
+        return cut_lineage(_curve(decision_metrics(union_all(frames), ["fold", "step", "train_rows", "part"])).orderBy("step"))
     finally:
         folded.unpersist()
+
+
+def _curve(scored: DataFrame) -> DataFrame:
+    """Mean and population spread over folds, per step and part."""
+    return scored.groupBy("step").agg(
+        F.max("train_rows").alias("train_rows"),
+        *[g(F.when(F.col("part") == part, F.col("f1"))).alias(f"{part}_f1_{label}") for part in ("train", "cv") for g, label in ((F.avg, "mean"), (F.stddev_pop, "std"))],
+    )
