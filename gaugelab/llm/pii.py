@@ -164,7 +164,24 @@ _NOT_ENDINGS = "am pm html htm php asp aspx jsp js ts css py java cpp cs rb rs s
 # Any other label of 2 to 8 letters is an ending if it is in small letters, or in capitals behind a capital. A capital first letter begins a sentence.
 _SMALL_ENDING = rf"(?-i:(?!(?:{_either(_NOT_ENDINGS)})\b)[a-z]{{2,8}})"
 _ENDING = rf"(?:{_either(_KNOWN_ENDINGS)}|{_SMALL_ENDING}|(?-i:(?<=[A-Z]\.)[A-Z]{{2,8}}))"
-_PLAIN_DOMAIN = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+[ \t]+(?:{_either(AT_WORDS)})[ \t]+{_LABEL}(?:\.{_LABEL})*\.{_ENDING}\b(?![\w-])", re.I)
+# A bare "at" before such a domain may be plain prose that lacks the blank behind a full stop ("at noon.then"). What else speaks for an
+# address: a known ending; two letters that are no common word; a name with a sign or a digit in it; or a word for mail shortly before.
+_TWO_LETTER_WORDS = "am an as at be by do go he hi if in is it me my no of oh ok on or so to up us we"
+_PLAIN_DOMAIN = re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<name>[A-Za-z0-9._%+-]+)[ \t]+(?:{_either(AT_WORDS)})[ \t]+{_LABEL}(?:\.{_LABEL})*\.(?P<ending>{_ENDING})\b(?![\w-])", re.I)
+_SIGNED_NAME = re.compile(r"[A-Za-z0-9]*[A-Za-z][A-Za-z0-9]*(?:[0-9]|[._%+-][A-Za-z0-9])")
+_MAIL_CUE = re.compile(r"\b(?:e-?mails?|mail(?:ed|ing|s|to)?|contact|reach|write|correo|contacto|kontakt|schreib\w*|courriel|contactez)\b", re.I)
+#: How many characters before a name are searched for a word for mail.
+CUE_REACH = 40
+
+
+def _is_address(m: re.Match) -> bool:
+    """Whether more than a bare "at" speaks for an address."""
+    ending = m["ending"].lower()
+    if ending in _KNOWN_ENDINGS.split() or (len(ending) == 2 and ending not in _TWO_LETTER_WORDS.split()):
+        return True
+    return bool(_SIGNED_NAME.match(m["name"]) or _MAIL_CUE.search(m.string, max(0, m.start() - CUE_REACH), m.start()))
+
+
 _IN_ADDRESS = re.compile(rf"[ \t]+(?:{_either(AT_WORDS)})[ \t]+|[ \t]*@[ \t]*|[ \t]+(?:{_either(DOT_WORDS)})[ \t]+", re.I)
 # The same with underscores or hyphens for blanks, with entities for signs, and with blanks around both signs.
 _JOINED_ADDRESS = re.compile(rf"(?<![A-Za-z0-9])[A-Za-z0-9.%+]+(?P<gap>[_-])(?:{_either(AT_WORDS)})(?P=gap)[A-Za-z0-9]+(?:(?P=gap)(?:{_either(DOT_WORDS)})(?P=gap)[A-Za-z0-9]+)+", re.I)
@@ -244,6 +261,11 @@ def _address(m: re.Match) -> Iterator[Piece]:
         yield "." if word in DOT_WORDS.split() else "@", m.start() + part.start(), m.start() + part.end()
 
 
+def _plain_domain(m: re.Match) -> Iterator[Piece]:
+    if _is_address(m):
+        yield from _address(m)
+
+
 def _joined(m: re.Match) -> Iterator[Piece]:
     for part in _IN_JOINED.finditer(m[0]):
         yield "." if part[2].lower() in DOT_WORDS.split() else "@", m.start() + part.start(), m.start() + part.end()
@@ -277,7 +299,7 @@ def normalised(text: str) -> Rewritten | None:
     if any(w in lower for w in DOT_WORDS.split()):
         made.rewrite(_WORD_ADDRESS, _address)
         made.rewrite(_JOINED_ADDRESS, _joined)
-    made.rewrite(_PLAIN_DOMAIN, _address)
+    made.rewrite(_PLAIN_DOMAIN, _plain_domain)
     if "@" in made.text:
         made.rewrite(_SPACED_AT, _as("@"))
         made.rewrite(_SPACED_DOT, _blank_dots)

@@ -126,3 +126,16 @@ def test_endings_of_domains():
     assert only("x joe @ firma . studio y") == [("email", "joe @ firma . studio")]
     for text in ["We met at noon.Then we left.", "look at index.html and at Node.js", "open at 10.am or at 5.pm", "we looked at noon.NATO came", "see at home. then go", "x @ home . Then we", "it is at 3.5 or at a.b", "a | 3963522770391943 | b"]:
         assert only(text) == [], text
+
+
+def test_bare_at_needs_evidence():
+    for text in ["we met at noon.then left", "arrived at london.we ate", "look at page.home today", "meet at st.james park", "WE MET AT NOON.THEN LEFT", "he sat at home.it rained", "5 at noon.then", "emails came; we sat for a very long time indeed at noon.then"]:
+        assert only(text) == [], text
+        assert pii.covered(text, *pii.find(text)) == text
+    assert only("x jane.doe at firma.studio y") == [("email", "jane.doe at firma.studio")]
+    assert only("x joe42 at firma.studio y") == [("email", "joe42 at firma.studio")]
+    assert only("x joe at firma.pl y") == [("email", "joe at firma.pl")]
+    assert only("please mail joe at firma.studio now") == [("email", "joe at firma.studio")]
+    assert only("e-mail: joe at firma.studio") == [("email", "joe at firma.studio")]
+    assert only("x joe [at] firma.studio y") == [("email", "joe [at] firma.studio")]
+    assert only("x joe at firma dot studio y") == [("email", "joe at firma dot studio")]
