@@ -25,7 +25,6 @@ def positional(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -50,16 +49,32 @@ SPACED = ~((_letters == 32) | ((_letters >= 9) & (_letters <= 13)))
 PLAIN = ((_letters >= 48) & (_letters <= 57)) | ((_letters >= 65) & (_letters <= 90)) | ((_letters >= 97) & (_letters <= 122)) | (_letters >= 128)
 
 
+#: Powers are a product of two: a low one from a kept table and a high one, so that a worker keeps 32 KB a base whatever its texts.
+_LOW_BITS = 12
+
+
+def _run_of_powers(base: int, n: int) -> np.ndarray:
+    step = np.full(n, base, dtype=_U)
+    step[:1] = 1
+    return np.multiply.accumulate(step)
+
+
+_LOW_POWERS = {base: _run_of_powers(base, 1 << _LOW_BITS) for base in (_BASE, _BASE_INVERSE)}
+
+
+def _high_powers(base: int, n: int) -> np.ndarray:
+    """Every 2^12th power up to the n-th."""
+    return _run_of_powers(pow(base, 1 << _LOW_BITS, 1 << 64), (n >> _LOW_BITS) + 1)
+
+
 def _power_table(base: int, n: int) -> np.ndarray:
-    known = _powers.get(base)
-    if known is None or len(known) < n:
-        size = max(n, SLICE_BYTES + 1)
-        step = np.full(size, base, dtype=_U)
-        step[0] = 1
-        known = np.multiply.accumulate(step)
-        if size <= 4 * SLICE_BYTES:
-            _powers[base] = known
-    return known[:n]
+    """The powers 0 to n - 1, made anew."""
+    return np.multiply.outer(_high_powers(base, n), _LOW_POWERS[base]).ravel()[:n]
+
+
+def _powers_at(base: int, exponents: np.ndarray, most: int) -> np.ndarray:
+    """Some powers, of exponents up to ``most``."""
+    return _high_powers(base, most)[exponents >> _LOW_BITS] * _LOW_POWERS[base][exponents & ((1 << _LOW_BITS) - 1)]
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -115,8 +130,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     n = len(data)
     running = np.empty(n + 1, dtype=_U)
     running[0] = 0
-    np.cumsum((BYTE_VALUES[LOWER] if lower else BYTE_VALUES)[data] * _power_table(_BASE, n), out=running[1:])
-    raw = (running[ends] - running[starts]) * _power_table(_BASE_INVERSE, n + 1)[starts]
+    values = _power_table(_BASE, n)
+    values *= (BYTE_VALUES[LOWER] if lower else BYTE_VALUES)[data]
+    np.cumsum(values, out=running[1:])
+    raw = (running[ends] - running[starts]) * _powers_at(_BASE_INVERSE, starts, n)
     return mixed(raw + (ends - starts).astype(_U))
 
 
