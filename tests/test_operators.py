@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -260,3 +261,34 @@ def test_box_whiskers(spark):
     df = spark.createDataFrame([("Bad", float(v)) for v in [1, 2, 3, 4, 100]], "Class string, Temp double")
     row = curves.box_summary(df, ["Temp"]).first()
     assert (row.q25, row.q50, row.q75, row.whisker_low, row.whisker_high, row.n_fliers) == (2.0, 3.0, 4.0, 1.0, 4.0, 1)
+
+
+def test_cuts_are_ordered_without_rounding(spark):
+    from fractions import Fraction
+
+    from gaugelab.operators.rules import _exact_order
+
+    draw = random.Random(4)
+    rows = []
+    for n in (2, 7, 1000, 10**7, 10**9, 10**12):
+        for _ in range(60):
+            left = draw.randint(1, n - 1)
+            left_pos, right_pos = draw.randint(0, left), draw.randint(0, n - left)
+            rows.append((len(rows), float(left), float(left_pos), float(n), float(left_pos + right_pos)))
+    # Nearly equal: one row more or less on one side of very many.
+    n = 10**12
+    rows += [(len(rows) + i, float(n // 2 + i), float(n // 4), float(n), float(n // 2)) for i in range(-3, 4)]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+
+    def half_gini(r):
+        _, ln, lp, tn, tp = (int(x) for x in r)
+        rn, rp = tn - ln, tp - lp
+        return Fraction(lp * (ln - lp), ln) + Fraction(rp * (rn - rp), rn)
+
+    found = _exact_order(spark.createDataFrame(rows, "id long, left_n double, left_pos double, all_n double, all_pos double")).collect()
+    key = {r.id: tuple(r.order_impurity) for r in found}
+    exact = {r[0]: half_gini(r) for r in rows}
+    by_key, by_value = sorted(rows, key=lambda r: (key[r[0]], r[0])), sorted(rows, key=lambda r: (exact[r[0]], r[0]))
+    assert [r[0] for r in by_key] == [r[0] for r in by_value]
+    for a, b in zip(by_key, by_key[1:]):
+        assert (key[a[0]] == key[b[0]]) == (exact[a[0]] == exact[b[0]])
