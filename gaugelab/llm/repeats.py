@@ -43,6 +43,8 @@ GRAM = 32
 PART_BYTES = 16 << 20
 SHARD_BYTES = 4 << 20
 MOST_TEXTS = 4096
+#: Starts whose blocks are sought at once.
+STRETCH = 1 << 19
 
 _U = np.uint64
 #: A byte that no UTF-8 text has.
@@ -75,39 +77,55 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 def blocks(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> dict[str, np.ndarray]:
     """The blocks of some texts: text, first start (in the text), number of starts, hash of the core, hash of the block's text."""
-    none = {k: np.zeros(0, t) for k, t in (("text", np.int64), ("start", np.int64), ("n", np.int64), ("core", _U), ("whole", _U))}
-    n = len(data)
-    if n < length:
-        return none
+    kinds = {"text": np.int64, "start": np.int64, "n": np.int64, "core": _U, "whole": _U}
+    found: dict[str, list[np.ndarray]] = {k: [np.zeros(0, t)] for k, t in kinds.items()}
+    # Some ten arrays of 64 bits a byte are held, so starts are taken a stretch at a time, from a block's first one on.
+    begin, end = 0, len(data) - length + 1
+    while begin < end:
+        stop = min(begin + max(STRETCH, 2 * length), end)
+        one = _blocks_from(data, offsets, length, begin, stop)
+        last = len(one["n"]) - 1
+        if stop < end and last >= 0 and one["at"][last] + one["n"][last] == stop:
+            stop = int(one["at"][last])  # it may go on behind the stretch
+            one = {k: v[:last] for k, v in one.items()}
+        for k, v in found.items():
+            v.append(one[k])
+        begin = stop
+    return {k: np.concatenate(v) for k, v in found.items()}
+
+
+def _blocks_from(data: np.ndarray, offsets: np.ndarray, length: int, begin: int, stop: int) -> dict[str, np.ndarray]:
+    """The blocks of the starts from ``begin`` to ``stop``, and where in the data each begins."""
     gram = min(GRAM, max(1, length // 2))
     width = length - gram + 1
     grid = (width + 1) // 2
+    data = data[begin : stop - 1 + length]
     hashes = Hashes(data)
-    at = np.arange(n - gram + 1)
-    bits = _U(int(n).bit_length())
+    at = np.arange(len(data) - gram + 1)
+    bits = _U(len(data).bit_length())
     key = (hashes.of(at, at + gram) >> bits << bits) | at.astype(_U)
     place = (_least(key, width) & ((_U(1) << bits) - _U(1))).astype(np.int64)
-    long = np.flatnonzero(np.diff(offsets) >= length)
-    edge = np.zeros(n - length + 2, np.int32)
-    edge[offsets[long]] += 1
-    edge[offsets[long + 1] - length + 1] -= 1
-    start = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-    if not len(start):
-        return none
+    # Starts whose string ends within their text.
+    within = np.searchsorted(offsets, [begin, stop - 1], side="right") - 1
+    some = np.arange(within[0], within[1] + 1)
+    lowest, highest = np.maximum(offsets[some], begin), np.minimum(offsets[some + 1] - length, stop - 1)
+    many = np.maximum(highest - lowest + 1, 0)
+    start = np.arange(many.sum()) + np.repeat(lowest - begin - (np.cumsum(many) - many), many)
     place = place[start]
     step = (place - start) // grid
     fresh = np.ones(len(start), bool)
     fresh[1:] = (place[1:] != place[:-1]) | (step[1:] != step[:-1]) | (start[1:] != start[:-1] + 1)
     first = np.flatnonzero(fresh)
     count = np.diff(np.append(first, len(start)))
-    begin, last = start[first], place[first] - grid * step[first]
-    text = np.searchsorted(offsets, begin, side="right") - 1
+    opens, last = start[first], place[first] - grid * step[first]
+    text = np.repeat(some, many)[first]
     return {
+        "at": opens + begin,
         "text": text,
-        "start": begin - offsets[text],
+        "start": opens + begin - offsets[text],
         "n": count,
         "core": hashes.of(last, last - grid + 1 + length),
-        "whole": hashes.of(begin, begin + count - 1 + length),
+        "whole": hashes.of(opens, opens + count - 1 + length),
     }
 
 

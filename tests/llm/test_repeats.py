@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -87,3 +88,28 @@ def test_suffix_arrays(monkeypatch):
             a, b = data[order[j - 1] :], data[order[j] :]
             k = next((k for k in range(min(len(a), len(b), 20)) if a[k] != b[k]), min(len(a), len(b), 20))
             assert shared[j] == k
+
+
+@pytest.mark.parametrize("length", [7, 40, 200])
+def test_blocks_do_not_depend_on_stretches(monkeypatch, length):
+    data = [(t or "").encode() for t in made(length, 60)]
+    offsets = np.cumsum([0, *map(len, data)])
+    whole = np.frombuffer(b"".join(data), np.uint8)
+    wanted = repeats.blocks(whole, offsets, length)
+    assert len(wanted["n"]) > 100
+    for stretch in (1, 500, 3001):
+        monkeypatch.setattr(repeats, "STRETCH", stretch)
+        got = repeats.blocks(whole, offsets, length)
+        assert all(np.array_equal(got[k], wanted[k]) for k in wanted)
+
+
+def test_blocks_hold_little():
+    """The search for blocks holds a stretch at a time, also within one long text."""
+    data = np.random.default_rng(3).integers(97, 123, 4 << 20).astype(np.uint8)
+    for offsets in (np.array([0, len(data)]), np.append(np.arange(0, len(data), 2000), len(data))):
+        tracemalloc.start()
+        found = repeats.blocks(data, offsets)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found["n"].sum() == (np.diff(offsets) - repeats.LENGTH + 1).clip(0).sum()
+        assert most < 30 * len(data)
