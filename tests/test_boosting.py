@@ -66,3 +66,13 @@ def test_draws_of_single_rows():
     u, n = (np.arange(2000) + 0.5) / 2000, np.where(np.arange(2000) % 3, 1, 4)
     drawn = tr.drawn_counts(u, n, 0.9)
     assert (drawn[n == 1] == (u[n == 1] > 1 - 0.9)).all() and drawn[n == 4] == pytest.approx(tr.drawn_counts(u[n == 4], n[n == 4], 0.9))
+
+
+def test_rows_leave_the_walk_at_their_leaf():
+    made = cells(3000)
+    tree = tr.grow_all(RECIPES["gini"], made, np.arange(len(made.y)), np.ones(4, bool), range(1))[0][0]
+    want = np.zeros(len(made.y), np.int64)
+    for i, code in enumerate(made.codes):
+        while tree.left[want[i]] != want[i]:
+            want[i] = tree.left[want[i]] + (code[tree.feature[want[i]]] > tree.cut[want[i]])
+    assert (tree.leaf_of(made.codes) == want).all()
